@@ -26,6 +26,7 @@ import re
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,13 +34,14 @@ from pyspark.sql import types as T
 from .common import cut, release
 
 K = 5
-SKETCHES = 20
-PICKS = 3
+SKETCHES = 40
+PICKS = 6
 SIMILARITY = 0.8
-LEADER_ROUNDS = 3
+LEADER_ROUNDS = 2
 
 _word = re.compile(r"\w+")
 _odd = np.random.default_rng(20240607).integers(1, 2**63, SKETCHES, dtype=np.uint64) | np.uint64(1)
+_places = _odd[:PICKS] * np.uint64(0x9E3779B97F4A7C15)
 _mult = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
 NODE = T.StructType([T.StructField("node", T.BinaryType()), T.StructField("n", T.IntegerType()), T.StructField("sketch", T.ArrayType(T.LongType()))])
@@ -58,7 +60,7 @@ class _Hashes(dict):
     def __missing__(self, w: str) -> int:
         if len(self) > 1_000_000:
             self.clear()
-        v = self[w] = int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+        v = self[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
         return v
 
 
@@ -101,17 +103,17 @@ def kmers(w: np.ndarray) -> np.ndarray:
 def sketches(w: np.ndarray) -> np.ndarray:
     """One value for each sketch: its least k-mers, in text order."""
     h = kmers(w)
-    keys = h[None, :] * _odd[:, None]
     take = min(PICKS, len(h))
     if len(h) > take:
-        at = np.argpartition(keys, take - 1, axis=1)[:, :take]
+        # a key's low bits hold its place in the text, so that one partial sort finds the least keys and their places
+        bits = np.uint64(max(20, int(len(h)).bit_length()))
+        keys = ((h[None, :] * _odd[:, None]) >> bits << bits) | np.arange(len(h), dtype=np.uint64)
+        at = (np.partition(keys, take - 1, axis=1)[:, :take] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
         at.sort(axis=1)
     else:
         at = np.broadcast_to(np.arange(len(h)), (SKETCHES, len(h)))
-    out = np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    for i in range(take):
-        out = _mix(out * np.uint64(0x9E3779B97F4A7C15) + h[at[:, i]])
-    return out.view(np.int64)
+    mixed = (h[at] * _places[:take]).sum(axis=1, dtype=np.uint64)
+    return _mix(mixed + np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)
 
 
 def _digest(w: np.ndarray) -> bytes:
