@@ -1,18 +1,20 @@
 """Near-duplicates by Order MinHash, verified by banded alignment.
 
 Words are runs of letters and digits, lower-cased (of a text without any, its runs of non-blank characters). Every
-five words in a row are a k-mer, labelled with how often the same k-mer came before in the text (a text of fewer words
-is one k-mer). Each of ``SKETCHES`` sketches takes the ``PICKS`` k-mers that are least under its own hash and keeps
-them in text order, so texts share a sketch when they share k-mers in the same order: that follows edit similarity,
-not just overlap. Texts that share a sketch are candidates; a candidate pair is linked if the word edit distance d,
-found by an alignment in a band of diagonals, gives 1 - d / max(words) >= ``SIMILARITY``. Classes are the connected
-components of links, named by their smallest doc_id.
+five words in a row are a k-mer (a text of fewer words is one k-mer). For the sketches a k-mer is labelled with how
+often the same one came before in the text. Each of ``SKETCHES`` sketches takes the ``PICKS`` labelled k-mers that are
+least under its own hash and keeps them in text order, so texts share a sketch when they share k-mers in the same
+order: that follows edit similarity, not just overlap. Texts that share a sketch are candidates. A candidate pair is
+linked if the edit distance d of the two k-mer sequences, found by an alignment in a band of diagonals, gives
+1 - d / max(length) >= ``SIMILARITY``. Pairs of a Jaccard similarity of 0.8 in the same order are always linked.
+Classes are the connected components of links, named by their smallest doc_id.
 
 No group is expanded into all pairs. Texts with the same words are one node. In each sketch bucket all nodes are
-first compared with one leader, for several rounds with other leaders, and only nodes that are still in different
-classes are then compared with each other: a large group of near copies costs about one comparison a node and round,
-while no candidate pair whose outcome could join two classes is left out. Nothing is collected to the driver; every
-round's tables are written to the shared folder.
+first compared with one leader, in a second round with another, so a large group of near copies costs a few
+comparisons a node. Nodes of a bucket that are still in different classes are then compared by an exact filter: of
+two linked sequences of n k-mers and more, the shorter list of n - ceil(0.8 n) + 1 rarest ones must share one with that
+of the other, so only nodes that share a rare k-mer are aligned. Texts that merely share a long passage do not, and
+no linked pair is left out. Nothing is collected to the driver; each round's tables are written to the shared folder.
 
 Null texts and texts without a word are never linked: each row is its own class, named by its doc_id. Null doc_ids
 take part but do not name a class, unless all its ids are null. Repeated rows are in one class. An empty table gives
@@ -23,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 
 import numpy as np
 import pandas as pd
@@ -78,26 +81,33 @@ def word_hashes(text: str | None) -> np.ndarray:
     return np.fromiter(map(_hashes.__getitem__, w), np.uint64, len(w))
 
 
-def kmers(w: np.ndarray) -> np.ndarray:
-    """Hashes of all k-mers in text order, each with the number of equal ones before it."""
+def plain_kmers(w: np.ndarray) -> np.ndarray:
+    """Hashes of all k-mers in text order."""
     if len(w) < K:
-        h = np.array([np.bitwise_xor.reduce(_mix(w + np.arange(1, len(w) + 1, dtype=np.uint64)))], np.uint64)
-        return _mix(h + np.uint64(len(w)))
+        return np.array([np.bitwise_xor.reduce(_mix(w + np.arange(1, len(w) + 1, dtype=np.uint64)))], np.uint64)
     m = len(w) - K + 1
     h = np.zeros(m, np.uint64)
     for i in range(K):
         h += w[i : i + m] * _mult[i]
-    h = _mix(h)
+    return _mix(h)
+
+
+def labelled(h: np.ndarray) -> np.ndarray:
+    """Hashes that also tell how many equal ones come before."""
     order = np.argsort(h, kind="stable")
     s = h[order]
     same = s[1:] == s[:-1]
-    if same.any():
-        first = np.concatenate([[0], np.flatnonzero(~same) + 1])
-        label = np.arange(m) - np.repeat(first, np.diff(np.append(first, m)))
-        occurrence = np.empty(m, np.uint64)
-        occurrence[order] = label.astype(np.uint64)
-        h = np.where(occurrence > 0, _mix(h + occurrence * np.uint64(0x9E3779B97F4A7C15)), h)
-    return h
+    if not same.any():
+        return h
+    m = len(h)
+    first = np.concatenate([[0], np.flatnonzero(~same) + 1])
+    occurrence = np.empty(m, np.uint64)
+    occurrence[order] = (np.arange(m) - np.repeat(first, np.diff(np.append(first, m)))).astype(np.uint64)
+    return np.where(occurrence > 0, _mix(h + occurrence * np.uint64(0x9E3779B97F4A7C15)), h)
+
+
+def kmers(w: np.ndarray) -> np.ndarray:
+    return labelled(plain_kmers(w))
 
 
 def sketches(w: np.ndarray) -> np.ndarray:
@@ -140,29 +150,18 @@ def _sequence(texts: pd.Series) -> pd.DataFrame:
     rows = []
     for t in texts:
         w = word_hashes(t)
-        rows.append((_digest(w), (w & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes()))
+        rows.append((_digest(w), sequence(w).tobytes() if len(w) else b""))
     return pd.DataFrame(rows, columns=SEQUENCE.names)
 
 
-def _few(a: list, b: list, most: int) -> bool:
-    """Whether the edit distance is at most ``most``, by the furthest-reaching place on each diagonal j - i = k."""
-    n, m = len(a), len(b)
-    goal, low = m - n, -(1 << 40)
-    reach = {}
-    for d in range(most + 1):
-        new = {}
-        for k in range(-d, d + 1):
-            i = 0 if not d else max(reach.get(k - 1, low), reach.get(k, low) + 1, reach.get(k + 1, low) + 1)
-            i = min(i, n, m - k)
-            if i < 0 or i + k < 0:
-                continue
-            while i < n and i + k < m and a[i] == b[i + k]:
-                i += 1
-            new[k] = i
-        if new.get(goal, -1) >= n:
-            return True
-        reach = new
-    return False
+def sequence(w: np.ndarray) -> np.ndarray:
+    """The k-mers of a text, 32 bits each: what is aligned."""
+    return (plain_kmers(w) >> np.uint64(32)).astype(np.uint32)
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _tokens(seqs: pd.Series) -> pd.Series:
+    return pd.Series([labelled(_mix(np.frombuffer(x, np.uint32).astype(np.uint64))).view(np.int64) for x in seqs], dtype=object)
 
 
 def _banded(a: np.ndarray, b: np.ndarray, most: int) -> bool:
@@ -195,8 +194,35 @@ def _banded(a: np.ndarray, b: np.ndarray, most: int) -> bool:
     return 0 <= at < width and row[at] <= most
 
 
+def _anchored(a: np.ndarray, b: np.ndarray) -> int:
+    """The cost of one alignment: elements that are unique in both, the longest run of them in the same order, and
+    between two of these the longer gap. Never below the edit distance."""
+    ua, ia, na = np.unique(a, return_index=True, return_counts=True)
+    ub, ib, nb = np.unique(b, return_index=True, return_counts=True)
+    ua, ia, ub, ib = ua[na == 1], ia[na == 1], ub[nb == 1], ib[nb == 1]
+    _, x, y = np.intersect1d(ua, ub, assume_unique=True, return_indices=True)
+    i, j = ia[x], ib[y]
+    order = np.argsort(i)
+    i, j = i[order], j[order]
+    if (np.diff(j) < 0).any():
+        tops: list[int] = []
+        ends: list[int] = []
+        before = [-1] * len(j)
+        for k, v in enumerate(j.tolist()):
+            at = bisect_left(tops, v)
+            before[k] = ends[at - 1] if at else -1
+            tops[at : at + 1], ends[at : at + 1] = [v], [k]
+        chain, k = [], ends[-1] if ends else -1
+        while k >= 0:
+            chain.append(k)
+            k = before[k]
+        i, j = i[chain[::-1]], j[chain[::-1]]
+    i, j = np.concatenate([[-1], i, [len(a)]]), np.concatenate([[-1], j, [len(b)]])
+    return int(np.maximum(np.diff(i) - 1, np.diff(j) - 1).sum())
+
+
 def near(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
-    """Whether 1 - d / max(len) >= similarity for the word edit distance d of two hash sequences."""
+    """Whether 1 - d / max(len) >= similarity for the edit distance d of two sequences."""
     longest = max(len(a), len(b))
     most = int(np.floor((1 - similarity) * longest + 1e-9))
     if abs(len(a) - len(b)) > most:
@@ -215,24 +241,20 @@ def near(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
         return True
     if not min(len(a), len(b)):
         return False
-    # an edit spoils two word pairs at most
-    pa, pb = a[:-1].astype(np.uint64) << np.uint64(32) | a[1:], b[:-1].astype(np.uint64) << np.uint64(32) | b[1:]
-    both, side = np.unique(np.concatenate([pa, pb]), return_inverse=True)
-    shared = int(np.minimum(np.bincount(side[: len(pa)], minlength=len(both)), np.bincount(side[len(pa) :], minlength=len(both))).sum())
-    if shared < max(len(a), len(b)) - 1 - 2 * most:
+    # what the longer one has and the other lacks takes an edit each
+    both, side = np.unique(np.concatenate([a, b]), return_inverse=True)
+    shared = int(np.minimum(np.bincount(side[: len(a)], minlength=len(both)), np.bincount(side[len(a) :], minlength=len(both))).sum())
+    if max(len(a), len(b)) - shared > most:
         return False
-    first = min(most, 48)
-    if _few(a.tolist(), b.tolist(), first):
+    if _anchored(a, b) <= most:
         return True
-    band = 4 * first
-    while first < most:
-        band = min(band, most)
+    band = min(most, 64)
+    while True:
         if _banded(a.astype(np.int64), b.astype(np.int64), band):
             return True
         if band == most:
-            break
-        band *= 4
-    return False
+            return False
+        band = min(most, 4 * band)
 
 
 @F.pandas_udf(T.BooleanType())
@@ -311,13 +333,29 @@ def _links(entries: DataFrame, seqs: DataFrame) -> DataFrame | None:
             break
     now = placed()
     mixed = now.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
-    now = cut(now.join(mixed, "bucket"), "rest")
-    left = now.select("bucket", F.col("node").alias("a"), F.col("root").alias("ra"))
-    right = now.select("bucket", F.col("node").alias("b"), F.col("root").alias("rb"))
-    test(left.join(right, "bucket").where("ra < rb").select("a", "b"))
+    left = cut(now.join(mixed, "bucket").select("node", "root").distinct(), "rest")
+    if not left.isEmpty():
+        test(_rare_pairs(left, seqs))
     return roots
 
 
+def _rare_pairs(nodes: DataFrame, seqs: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes with different roots that share one of their rarest k-mers (see above)."""
+    tokens = seqs.join(nodes, "node").withColumn("tokens", _tokens.asNondeterministic()("seq")).select("node", "root", F.explode("tokens").alias("token"))
+    tokens = cut(tokens, "tokens")
+    # a k-mer of one class only cannot make a pair, but it counts as the rarest
+    often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    often = often.where("df > 1").select("token", "df", (F.col("lo") < F.col("hi")).alias("mixed"))
+    known = tokens.join(often, "token", "left").select("node", "root", "token", F.coalesce("df", F.lit(1)).alias("df"), F.coalesce("mixed", F.lit(False)).alias("mixed"))
+    ranked = known.groupBy("node", "root").agg(F.sort_array(F.collect_list(F.struct("df", "token", "mixed"))).alias("t"))
+    n = F.size("t")
+    first = F.slice("t", 1, (n - F.ceil(n * F.lit(SIMILARITY) - 1e-9) + 1).cast("int"))
+    rare = ranked.select("node", "root", F.explode(F.filter(first, lambda x: x["mixed"])).alias("x")).select("node", "root", "x.token")
+    left = rare.select("token", F.col("node").alias("a"), F.col("root").alias("ra"))
+    right = rare.select("token", F.col("node").alias("b"), F.col("root").alias("rb"))
+    return left.join(right, "token").where("ra < rb").select("a", "b")
+
+
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each document: (doc_id, row_hash, root, class_id).
 
