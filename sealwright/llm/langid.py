@@ -210,15 +210,15 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     """A model from a bounded sample of labelled rows.
 
     For each language the documents with the smallest key hashes are taken, ``docs_per_lang`` or a few more, up to
-    ``chars_per_doc`` characters of each and ``chars_per_lang`` in all. Rows are counted first, so that the sample is
-    drawn by a hash threshold without sorting a language's rows in one place.
+    ``chars_per_doc`` characters of each and ``chars_per_lang`` in all. Rows are counted first (no text is read for
+    that), so that the sample is drawn by a hash threshold without sorting a language's rows in one place.
     """
+    counts = docs.where(F.col(lang).isNotNull()).groupBy(F.col(lang).alias("l")).agg(F.count(F.lit(1)).alias("n"))
     rows = docs.select(F.xxhash64(F.col(key).cast("string"), F.lit("sample")).alias("h"), F.col(text).alias("t"), F.col(lang).alias("l"))
-    rows = rows.where("t is not null and l is not null and length(t) > 0")
-    share = rows.groupBy("l").agg(F.count(F.lit(1)).alias("n"))
     most = 2.0**64
-    share = share.select("l", (F.least(F.lit(1.0), F.lit(2.0 * docs_per_lang) / F.col("n")) * most - most / 2).alias("below"))
-    drawn = rows.join(share, "l").where(F.col("h") < F.col("below"))
+    # a row for each language, as many as the model will hold texts
+    share = docs.sparkSession.createDataFrame([(r.l, min(1.0, 2.0 * docs_per_lang / r.n) * most - most / 2) for r in counts.collect()], "l string, below double")
+    drawn = rows.where("l is not null and length(t) > 0").join(F.broadcast(share), "l").where(F.col("h") < F.col("below"))
     got = drawn.select("l", "h", F.substring("t", 1, chars_per_doc).alias("t")).toPandas().sort_values(["l", "h", "t"])
     texts = []
     for name, own in got.groupby("l", sort=True):

@@ -29,6 +29,8 @@ from .common import WORD, cut
 BLOCK, ROWS, SHARD_SLOTS = 256, 20_000, 64
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, MOST = 1.5, 2.0
+#: Primes of which the first that does not divide a range's length permutes it.
+PRIMES = (1_299_709, 1_299_721, 1_299_743, 1_299_763, 1_299_791, 1_299_811, 1_299_817)
 #: Sources whose table may be broadcast; beyond, a salted join takes its place.
 FEW_SOURCES = 50_000
 
@@ -88,14 +90,13 @@ def _mix_bits(x: Column, seed: int) -> Column:
 
 
 def permuted(i: Column, n: Column, seed: Column | int = 0) -> Column:
-    """A bijection of 0 .. n - 1: i -> (a * i + b) mod n with a prime a that does not divide n, then a cycle walk step.
+    """A bijection of 0 .. n - 1: i -> (a * i + b) mod n, a prime a that does not divide n, b a hash of the seed.
 
-    ``a`` is the first of a few large primes that is no divisor of n (n below 2**40), so it is coprime to n.
+    No n below 2**40 is divisible by all of the primes.
     """
-    primes = (1_299_709, 1_299_721, 1_299_743, 1_299_763, 1_299_791, 1_299_811, 1_299_817)
-    a = F.lit(primes[-1])
-    for p in reversed(primes[:-1]):
-        a = F.when(n % p != 0, F.lit(p)).otherwise(a)
+    a = None
+    for p in PRIMES:
+        a = F.when(n % p != 0, F.lit(p)) if a is None else a.when(n % p != 0, F.lit(p))
     seed = F.lit(seed) if isinstance(seed, int) else seed
     return F.pmod(a * i + _mix_bits(seed, 1), n)
 
