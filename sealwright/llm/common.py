@@ -71,7 +71,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def per_doc_batches(series, limit: int = 8_000_000):
+def per_doc_batches(series, limit: int = 4_000_000):
     """Slices of a list of texts whose lengths add up to at most ``limit`` characters (one text at least)."""
     start, size = 0, 0
     for i, x in enumerate(series):

@@ -206,7 +206,7 @@ def with_language(docs: DataFrame, model: Model, text: str = "text", out: str =
     return docs.withColumn(out, F.pandas_udf(run, GUESS).asNondeterministic()(F.col(text)))
 
 
-def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", chars_per_lang: int = 60_000, docs_per_lang: int = 200, chars_per_doc: int = 2_000) -> Model:
+def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", chars_per_lang: int = 40_000, docs_per_lang: int = 200, chars_per_doc: int = 2_000) -> Model:
     """A model from a bounded sample of labelled rows.
 
     For each language the documents with the smallest key hashes are taken, ``docs_per_lang`` or a few more, up to

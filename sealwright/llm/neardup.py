@@ -58,10 +58,10 @@ def words(text: str | None) -> list[str]:
 
 
 class _Hashes(dict):
-    """A 64-bit hash of each word, kept while the worker lives (at most about a million words)."""
+    """A 64-bit hash of each word, kept while the worker lives (about 10 MB of words at most)."""
 
     def __missing__(self, w: str) -> int:
-        if len(self) > 1_000_000:
+        if len(self) >= 50_000:
             self.clear()
         v = self[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
         return v
