@@ -6,9 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import polynomial
-
-#: Calibration types.
-TYPES = ("energy", "timing", "gain_map", "normalization", "dead_time", "cross_calibration", "crystal_map", "detector_efficiency")
+from ..model import CALIBRATION_TYPES
+
+def incomplete(data: DataFrame) -> DataFrame:
+    """(product_id, calibration_type, names) rows whose type is unknown or lacks one of its key datasets."""
+    known = F.lit(False)
+    for kind, needed in CALIBRATION_TYPES.items():
+        have = F.size(F.array_except(F.array(*map(F.lit, needed)), "names")) == 0 if needed else F.lit(True)
+        known = known | ((F.col("calibration_type") == kind) & have)
+    return data.where(~known)
 
 
 def as_of(rows: DataFrame, calibrations: DataFrame, key: list[str], at: str, since: str, value: str, out: str = "calibration") -> DataFrame:

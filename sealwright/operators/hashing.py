@@ -6,20 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import NUL, sha256, text_of
-
-#: Identity inputs by product type; every identity also has the product type itself as its first input.
-IDENTITY_INPUTS = {
-    "recon": ("scanner", "vendor_series_id", "timestamp"),
-    "listmode": ("scanner", "vendor_series_id", "timestamp"),
-    "sinogram": ("scanner", "vendor_series_id", "timestamp"),
-    "sim": ("simulator", "config_hash", "seed"),
-    "calibration": ("scanner_serial", "calibration_type", "valid_from"),
-    "spectrum": ("source_id", "method", "config_hash"),
-    "transform": ("source_image_id", "target_image_id", "method"),
-    "roi": ("image_id", "method", "timestamp"),
-    "device_data": ("device_model", "recording_start"),
-}
-
+from ..model import product_types
 
 def identity(product: Column | str, *inputs: Column | str) -> Column:
     """``sha256:`` and the digest of the product type and its identity inputs, joined by NUL."""
@@ -30,8 +17,8 @@ def identity(product: Column | str, *inputs: Column | str) -> Column:
 def identity_by_product(product: str = "product") -> Column:
     """The identity under the rule of each row's own product type; null for an unknown type."""
     out = F.lit(None).cast("string")
-    for name, inputs in IDENTITY_INPUTS.items():
-        out = F.when(F.col(product) == name, identity(product, *inputs)).otherwise(out)
+    for name, kind in product_types().items():
+        out = F.when(F.col(product) == name, identity(product, *kind.identity)).otherwise(out)
     return out
 
 
@@ -65,9 +52,14 @@ def chunk_hash(data: Column) -> Column:
     return sha256(data)
 
 
+def joined(order: str, digest: str) -> Column:
+    """The ordered concatenation of digests, as hex."""
+    return F.expr(f"listagg({digest}, '') within group (order by {order})")
+
+
 def rolled(order: str, digest: str) -> Column:
     """Digest of the ordered concatenation of raw digests."""
-    return F.expr(f"sha2(unhex(listagg({digest}, '') within group (order by {order})), 256)")
+    return sha256(F.unhex(joined(order, digest)))
 
 
 def dataset_hash(chunks: DataFrame, keys: list[str], order: str, digest: str, out: str = "dataset_hash") -> DataFrame:
@@ -81,39 +73,40 @@ def attribute_hash(attrs: DataFrame, keys: list[str], key: str = "key", value: s
     return own.groupBy(*keys).agg(rolled(key, "__h").alias(out))
 
 
-def group_hash(children: DataFrame, parent: list[str], name: str, digest: str, out: str = "group_hash", hardened: bool = False) -> DataFrame:
-    """Digest of a group's children in name order; companions of chunk digests are left out.
+def children_of(nodes: DataFrame, parent: list[str], name: str, digest: str, out: str = "children", hardened: bool = False) -> DataFrame:
+    """The digests of each group's children in name order, joined; companions of chunk digests are left out.
 
     ``hardened`` also hashes each child's name, so that a renaming which keeps the order shows.
     """
-    rows = children.where(~F.endswith(F.col(name), F.lit("_chunk_hashes")))
+    rows = nodes.where(~F.endswith(F.col(name), F.lit("_chunk_hashes")))
     if hardened:
         rows = rows.withColumn(digest, sha256(F.concat(F.col(name), F.lit(NUL), F.col(digest))))
-    return rows.groupBy(*parent).agg(rolled(name, digest).alias(out))
+    return rows.groupBy(*parent).agg(joined(name, digest).alias(out))
+
+
+def group_hash(attr_hash: Column, children: Column) -> Column:
+    """Digest of a group: its attributes' digest, then its children's digests in name order; either may be absent."""
+    return sha256(F.unhex(F.concat(F.coalesce(attr_hash, sha256(F.lit(""))), F.coalesce(children, F.lit("")))))
 
 
 def tree_hash(nodes: DataFrame, hardened: bool = False) -> DataFrame:
     """(product_id, content_hash) from nodes (product_id, path, parent, name, depth, kind, attr_hash, dataset_hash).
 
-    Works from the deepest level up: a level's digests are rolled up by parent and joined to that level's groups, one
-    shuffle by (product, parent) for each level. A group without attributes or children counts the empty digest.
+    Works from the deepest level up: a level's digests are joined by parent and matched with that level's groups, one
+    shuffle by (product, parent) for each level. A group without attributes counts the empty digest for them.
     """
-    empty = sha256(F.lit(""))
     deepest = nodes.agg(F.max("depth")).first()[0]
     below = None
     for depth in range(deepest if deepest is not None else -1, -1, -1):
         level = nodes.where(F.col("depth") == depth)
         if below is not None:
-            rolled_up = group_hash(below, ["product_id", "parent"], "name", "h", "children", hardened).withColumnRenamed("parent", "path")
-            level = level.join(rolled_up, ["product_id", "path"], "left")
+            level = level.join(children_of(below, ["product_id", "parent"], "name", "h", hardened=hardened).withColumnRenamed("parent", "path"), ["product_id", "path"], "left")
         else:
             level = level.withColumn("children", F.lit(None).cast("string"))
-        own = F.concat(F.coalesce("attr_hash", empty), F.coalesce("children", F.lit("")))
-        group = sha256(F.unhex(own))
         data = F.col("dataset_hash")
         if hardened:
-            data = sha256(F.unhex(F.concat(F.coalesce("attr_hash", empty), "dataset_hash")))
-        below = level.select("product_id", "parent", "name", F.when(F.col("kind") == "dataset", data).otherwise(group).alias("h"))
+            data = sha256(F.unhex(F.concat(F.coalesce("attr_hash", sha256(F.lit(""))), "dataset_hash")))
+        below = level.select("product_id", "parent", "name", F.when(F.col("kind") == "dataset", data).otherwise(group_hash(F.col("attr_hash"), F.col("children"))).alias("h"))
     if below is None:
         return nodes.select("product_id", F.lit("").alias("content_hash")).limit(0)
     return below.select("product_id", F.concat(F.lit("sha256:"), sha256(F.unhex("h"))).alias("content_hash"))
@@ -138,6 +131,6 @@ def unique_by_content(df: DataFrame, digest: Column, key: str) -> DataFrame:
     return df.groupBy(digest.alias("content_hash")).agg(F.min(key).alias("kept"), F.count(F.lit(1)).alias("copies"))
 
 
-def chunk_hash_policy(n_bytes: Column, shared: Column) -> Column:
-    """Whether chunk digests are advised: above 100 MB, or for shared data of more than one chunk."""
-    return F.when(n_bytes > 100_000_000, "recommended").when(shared & (n_bytes > 1_000_000), "optional").otherwise("skip")
+def chunk_hash_policy(n_bytes: Column, remote_or_archived: Column) -> Column:
+    """Whether chunk digests are advised: above 100 MB, for remote access or long-term archives; else they do not pay."""
+    return F.when(n_bytes > 100_000_000, "large").when(remote_or_archived, "access").otherwise("skip")

@@ -50,10 +50,10 @@ def marginal(counts: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def normalised(counts: DataFrame, keys: list[str] = ()) -> DataFrame:
-    """Shares of all counts; the total is one aggregate joined back, not a window over all rows."""
+    """Shares of all counts; totals are an aggregate joined back (a scalar subquery without keys), not a window."""
     if keys:
         return counts.join(counts.groupBy(*keys).agg(F.sum("n").alias("__t")), keys).withColumn("share", F.col("n") / F.col("__t")).drop("__t")
-    return counts.crossJoin(F.broadcast(counts.agg(F.sum("n").alias("__t")))).withColumn("share", F.col("n") / F.col("__t")).drop("__t")
+    return counts.withColumn("share", F.col("n") / counts.agg(F.sum("n")).scalar())
 
 
 def rates(counts: DataFrame, live_time: Column) -> DataFrame:
@@ -92,45 +92,78 @@ def line_shape(df: DataFrame, energy: Column, centre: float, narrow: float, wing
     return df.groupBy(*keys).agg((F.count_if(off <= narrow) / n).alias("s"), (F.count_if((off >= wings[0]) & (off < wings[1])) / n).alias("w"))
 
 
-def _fit(model: str, x, y, e):
+def _voigt(x, s, g):
+    """The pseudo-Voigt profile: a weighted sum of a Gaussian and a Lorentzian of the same width."""
     import numpy as np
 
+    fg, fl = 2.3548200450309493 * abs(s), 2 * abs(g)
+    f = (fg**5 + 2.69269 * fg**4 * fl + 2.42843 * fg**3 * fl**2 + 4.47163 * fg**2 * fl**3 + 0.07842 * fg * fl**4 + fl**5) ** 0.2
+    eta = 1.36603 * fl / f - 0.47719 * (fl / f) ** 2 + 0.11116 * (fl / f) ** 3
+    return eta / (1 + (2 * x / f) ** 2) + (1 - eta) * np.exp(-4 * np.log(2) * (x / f) ** 2)
+
+
+def _start_exponential(x, y, n):
+    import numpy as np
+
+    good = y > 0
+    slope, level = np.polyfit(x[good], np.log(y[good]), 1, w=np.sqrt(y[good])) if good.sum() > 1 else (-1.0, 0.0)
+    rate = max(-slope, 1e-6)
+    return [v for k in range(n) for v in (np.exp(level) / n, rate * 2.0 ** (k - (n - 1) / 2))]
+
+
+def _start_peak(x, y):
+    import numpy as np
+
+    total = max(y.sum(), 1e-12)
+    m = (x * y).sum() / total
+    return [y.max(), m, np.sqrt(max((y * (x - m) ** 2).sum() / total, 1e-12))]
+
+
+def _models():
+    import numpy as np
+
+    many = lambda x, p: sum(p[i] * np.exp(-p[i + 1] * x) for i in range(0, len(p), 2))
+    return {
+        "exponential": (many, lambda x, y: _start_exponential(x, y, 1)),
+        "multi_exponential": (many, lambda x, y: _start_exponential(x, y, 2)),
+        "gaussian": (lambda x, p: p[0] * np.exp(-((x - p[1]) ** 2) / (2 * p[2] ** 2)), _start_peak),
+        "voigt": (lambda x, p: p[0] * _voigt(x - p[1], p[2], p[3]), lambda x, y: [*_start_peak(x, y)[:2], *(_start_peak(x, y)[2] / k for k in (1.5, 3))]),
+    }
+
+
+def _fit(model, x, y, e):
+    """Damped Gauss-Newton steps with a numerical Jacobian; ``model`` is a name or a pair (function, start)."""
+    import numpy as np
+
+    f, start = _models()[model] if isinstance(model, str) else model
     w = np.where(e > 0, 1 / np.where(e > 0, e, 1), 0)
-    if model == "exponential":  # log-linear start, then Gauss-Newton
-        good = y > 0
-        slope, level = np.polyfit(x[good], np.log(y[good]), 1, w=np.sqrt(y[good]))
-        p = np.array([np.exp(level), -slope])
-        f = lambda p: p[0] * np.exp(-p[1] * x)
-        jac = lambda p: np.stack([np.exp(-p[1] * x), -p[0] * x * np.exp(-p[1] * x)], 1)
-    elif model == "gaussian":
-        m = (x * y).sum() / y.sum()
-        p = np.array([y.max(), m, np.sqrt(max((y * (x - m) ** 2).sum() / y.sum(), 1e-12))])
-        f = lambda p: p[0] * np.exp(-((x - p[1]) ** 2) / (2 * p[2] ** 2))
-
-        def jac(p):
-            g = np.exp(-((x - p[1]) ** 2) / (2 * p[2] ** 2))
-            return np.stack([g, p[0] * g * (x - p[1]) / p[2] ** 2, p[0] * g * (x - p[1]) ** 2 / p[2] ** 3], 1)
-    else:
-        raise ValueError(f"unknown model {model}")
-    cov = np.full((len(p), len(p)), np.nan)
-    for _ in range(50):
-        j = jac(p) * w[:, None]
-        try:
-            cov = np.linalg.pinv(j.T @ j)
-        except np.linalg.LinAlgError:
+    p = np.array(start(x, y), float)
+    chi = lambda q: float((((y - f(x, q)) * w) ** 2).sum())
+    cov, damp = np.full((len(p), len(p)), np.nan), 1e-3
+    for _ in range(200):
+        h = 1e-6 * np.maximum(np.abs(p), 1e-3)
+        j = np.stack([(f(x, p + d) - f(x, p - d)) / (2 * k) for k, d in zip(h, np.diag(h))], 1) * w[:, None]
+        a, r = j.T @ j, j.T @ ((y - f(x, p)) * w)
+        cov = np.linalg.pinv(a)
+        while True:
+            step = np.linalg.lstsq(a + damp * np.diag(np.diag(a) + 1e-12), r, rcond=None)[0]
+            if chi(p + step) <= chi(p) or damp > 1e12:
+                break
+            damp *= 10
+        if damp > 1e12:
             break
-        step = cov @ j.T @ ((y - f(p)) * w)
-        while np.abs(step).max() > 1e-12 and (((y - f(p + step)) * w) ** 2).sum() > (((y - f(p)) * w) ** 2).sum():
-            step = step / 2
-        p = p + step
-        if np.abs(step).max() <= 1e-10 * (1 + np.abs(p).max()):
+        p, damp = p + step, max(damp / 10, 1e-12)
+        if np.abs(step).max() <= 1e-12 * (1 + np.abs(p).max()):
             break
-    return p, np.sqrt(np.diag(cov)), float((((y - f(p)) * w) ** 2).sum())
+    return p, np.sqrt(np.maximum(np.diag(cov), 0)), chi(p)
 
 
-def fit(binned: DataFrame, key: str, model: str) -> DataFrame:
+def fit(binned: DataFrame, key: str, model) -> DataFrame:
     """Least-squares fits of (x, n, err), one for each key: parameter values, errors, chi-squared.
 
+    ``model``: exponential, multi_exponential, gaussian, voigt, or a pair of functions (curve of x and parameters,
+    start of x and counts).
+
     A fit needs a spectrum's bins together (as many as its axis has, not as many as there are events).
     """
 

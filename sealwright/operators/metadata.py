@@ -9,29 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import list_to_si, to_si
+from ..model import REQUIRED, product_types
 
 #: Lists of at most so many elements are attributes; longer ones are datasets.
 ATTRIBUTE_LIMIT = 1000
 
-#: Attributes that every product has; the last two are optional.
-REQUIRED = ("_schema_version", "product", "id", "id_inputs", "name", "description", "content_hash")
-CONDITIONAL = "timestamp"
-OPTIONAL = ("domain", "default")
-
-#: Members of which a product of each type needs all of the first tuple and one of the second, if any.
-MEMBERS = {
-    "recon": (("volume",), ()),
-    "listmode": (("metadata",), ("raw_data", "proc_data")),
-    "sinogram": (("sinogram",), ()),
-    "sim": (("ground_truth",), ()),
-    "transform": ((), ("matrix", "displacement_field")),
-    "calibration": (("data",), ()),
-    "spectrum": (("counts", "axes"), ()),
-    "roi": ((), ("mask", "geometry", "contours")),
-    "device_data": (("channels", "metadata", "provenance"), ()),
-}
-
-
 def is_attribute(n_elements: Column, n_dims: Column) -> Column:
     """Lists of one dimension and few elements are attributes, all other arrays datasets."""
     return (n_dims <= 1) & (n_elements <= ATTRIBUTE_LIMIT)
@@ -130,20 +112,35 @@ def missing_required(present: DataFrame, products: DataFrame, required: tuple[st
     return wanted.join(present.select("product_id", key), ["product_id", key], "left_anti")
 
 
+def missing_timestamp(products: DataFrame, time: str = "ts_raw") -> DataFrame:
+    """Measured products without a timestamp; simulated ones need none."""
+    free = [k for k, t in product_types().items() if not t.measured]
+    return products.where(F.col(time).isNull() & ~F.col("product").isin(free)).select("product_id")
+
+
 def missing_members(nodes: DataFrame, products: DataFrame) -> DataFrame:
-    """(product_id, problem) for products that lack members of their type; frames are needed from 4 dimensions on."""
-    names = nodes.where("depth = 1").groupBy("product_id").agg(F.collect_set("name").alias("names"))
-    rows = products.join(names, "product_id", "left").withColumn("names", F.coalesce("names", F.array().cast("array<string>")))
+    """(product_id, problem) for products that lack members of their type; frames are needed from 4 dimensions on.
+
+    nodes: (product_id, path), paths relative to the root; products: (product_id, product, n_dims).
+    """
+    paths = nodes.groupBy("product_id").agg(F.collect_set("path").alias("paths"))
+    rows = products.join(paths, "product_id", "left").withColumn("paths", F.coalesce("paths", F.array().cast("array<string>")))
     problems = []
-    for kind, (needed, one_of) in MEMBERS.items():
-        own = F.col("product") == kind
-        problems += [F.when(own & ~F.array_contains("names", n), F.lit(f"missing {n}")) for n in needed]
-        if one_of:
-            problems.append(F.when(own & ~F.arrays_overlap("names", F.array(*map(F.lit, one_of))), F.lit("missing one of " + ", ".join(one_of))))
-    problems.append(F.when((F.col("n_dims") >= 4) & ~F.array_contains("names", "frames"), F.lit("missing frames")))
+    for name, kind in product_types().items():
+        own = F.col("product") == name
+        problems += [F.when(own & ~F.array_contains("paths", p), F.lit(f"missing {p}")) for p in kind.members]
+        if kind.one_of:
+            problems.append(F.when(own & ~F.arrays_overlap("paths", F.array(*map(F.lit, kind.one_of))), F.lit("missing one of " + ", ".join(kind.one_of))))
+    problems.append(F.when((F.col("n_dims") >= 4) & ~F.array_contains("paths", "frames"), F.lit("missing frames")))
     return rows.select("product_id", F.explode(F.array_compact(F.array(*problems))).alias("problem"))
 
 
+def references(attrs: DataFrame, path: str = "path", key: str = "key", value: str = "value") -> DataFrame:
+    """Literature references: the DOI of every group below ``references/``."""
+    rows = attrs.where(F.startswith(F.col(path), F.lit("references/")) & (F.col(key) == "doi"))
+    return rows.select("product_id", F.substring_index(path, "/", -1).alias("name"), F.col(value).alias("doi"))
+
+
 def restates_name(name: Column, description: Column, least: float = 0.5) -> Column:
     """Whether a description just repeats the name: none, or most of its words are words of the name."""
     words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda w: w != ""))

@@ -110,10 +110,13 @@ def id_to_path(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey", "o_custkey").join(paths, F.col("o_custkey") == F.col("c_custkey"), "left").select("o_orderkey", "path")
 
 
-@query("""SELECT c_custkey AS product_id, '{"@id":' || c_custkey::VARCHAR || ',"@type":"File","name":"' || c_name || '","identifier":{"@type":"PropertyValue","propertyID":"content_hash","value":"' || sha256(c_name) || '"},"isBasedOn":[' ||
-  coalesce((SELECT string_agg('{"@id":"' || k || '"}', ',' ORDER BY k) FROM (SELECT DISTINCT o_orderkey::VARCHAR AS k FROM orders WHERE o_custkey = c_custkey)), '') || ']}' AS entity FROM customer""")
+@query("""SELECT 'sha256:' || sha256(c_custkey::VARCHAR) AS product_id, '{"@id":"c' || c_custkey::VARCHAR || '.h5","@type":"File","encodingFormat":"application/x-hdf5","dateCreated":"' || coalesce(t, '') || '","identifier":{"@type":"PropertyValue","propertyID":"sha256","value":"' || sha256(c_custkey::VARCHAR) || '"},"isBasedOn":[' ||
+  coalesce(k, '') || ']}' AS entity FROM customer LEFT JOIN (SELECT o_custkey, strftime(min(o_orderdate), '%Y-%m-%d') AS t, string_agg('{"@id":"' || o_orderkey::VARCHAR || '"}', ',' ORDER BY o_orderkey::VARCHAR) AS k FROM orders GROUP BY 1) ON o_custkey = c_custkey""")
 def export_jsonld(spark: SparkSession, d: str) -> DataFrame:
     """Linked-data entities with what each is based on."""
-    products = table(spark, d, "customer").select(F.col("c_custkey").alias("product_id"), F.col("c_name").alias("name"), F.sha2("c_name", 256).alias("content_hash"))
-    sources = table(spark, d, "orders").select(F.col("o_custkey").alias("product_id"), F.col("o_orderkey").cast("string").alias("source_id"))
-    return E.linked_data(products, sources)
+    seal = lambda c: F.concat(F.lit("sha256:"), F.sha2(F.col(c).cast("string"), 256)).alias("product_id")
+    orders = table(spark, d, "orders")
+    first = orders.groupBy("o_custkey").agg(F.date_format(F.min("o_orderdate"), "yyyy-MM-dd").alias("timestamp"))
+    products = table(spark, d, "customer").join(first, F.col("c_custkey") == F.col("o_custkey"), "left")
+    products = products.select(seal("c_custkey"), F.concat(F.lit("c"), "c_custkey", F.lit(".h5")).alias("file"), F.coalesce("timestamp", F.lit("")).alias("timestamp"))
+    return E.linked_data(products, orders.select(seal("o_custkey"), F.col("o_orderkey").cast("string").alias("source_id")))

@@ -27,11 +27,11 @@ def merkle_dataset_hash(spark: SparkSession, d: str) -> DataFrame:
   SELECT c_nationkey, c_name, sha256(c_name || chr(0) || c_mktsegment || chr(0) || round(c_acctbal * 100)::BIGINT::VARCHAR) AS h FROM customer),
 n AS (
   SELECT n_regionkey, n_name, sha256(unhex(sha256(n_name) || coalesce(k.h, ''))) AS h
-  FROM nation LEFT JOIN (SELECT c_nationkey, sha256(unhex(string_agg(h, '' ORDER BY c_name))) AS h FROM c GROUP BY 1) k ON c_nationkey = n_nationkey),
+  FROM nation LEFT JOIN (SELECT c_nationkey, string_agg(h, '' ORDER BY c_name) AS h FROM c GROUP BY 1) k ON c_nationkey = n_nationkey),
 r AS (
   SELECT r_name, sha256(unhex(sha256(r_name) || coalesce(k.h, ''))) AS h
-  FROM region LEFT JOIN (SELECT n_regionkey, sha256(unhex(string_agg(h, '' ORDER BY n_name))) AS h FROM n GROUP BY 1) k ON n_regionkey = r_regionkey)
-SELECT 'sha256:' || sha256(unhex(sha256(unhex(sha256('') || sha256(unhex(string_agg(h, '' ORDER BY r_name))))))) AS content_hash FROM r""")
+  FROM region LEFT JOIN (SELECT n_regionkey, string_agg(h, '' ORDER BY n_name) AS h FROM n GROUP BY 1) k ON n_regionkey = r_regionkey)
+SELECT 'sha256:' || sha256(unhex(sha256(unhex(sha256('') || string_agg(h, '' ORDER BY r_name))))) AS content_hash FROM r""")
 def merkle_root_hash(spark: SparkSession, d: str) -> DataFrame:
     """Regions, nations and customers as a tree of groups; children in name order at every level."""
     c = table(spark, d, "customer")
@@ -139,16 +139,17 @@ def full_verify(spark: SparkSession, d: str) -> DataFrame:
     return H.verify(docs, stored, ["doc_id"], "h").join(names, "doc_id")
 
 
-@query("""SELECT conv_id, sha256(unhex(string_agg(h, '' ORDER BY name))) AS group_hash FROM (
+@query("""SELECT conv_id, sha256(unhex(sha256('') || string_agg(h, '' ORDER BY name))) AS group_hash FROM (
   SELECT conv_id, 'turn' || lpad(turn::VARCHAR, 6, '0') AS name, sha256(coalesce(text, '')) AS h FROM conversations) GROUP BY conv_id""")
 def group_without_companions(spark: SparkSession, d: str) -> DataFrame:
     """Group digests: companion datasets of chunk digests are there and do not count."""
     name = F.concat(F.lit("turn"), F.lpad(F.col("turn").cast("string"), 6, "0"))
     own = table(spark, d, "conversations").select("conv_id", name.alias("name"), H.chunk_hash(text_of(F.col("text"))).alias("h"))
     companions = own.select("conv_id", F.concat("name", F.lit("_chunk_hashes")).alias("name"), sha256(F.col("h")).alias("h"))
-    return H.group_hash(own.union(companions), ["conv_id"], "name", "h")
+    groups = H.children_of(own.union(companions), ["conv_id"], "name", "h")
+    return groups.select("conv_id", H.group_hash(F.lit(None).cast("string"), F.col("children")).alias("group_hash"))
 
 
-@query("""SELECT doc_id, CASE WHEN strlen(text) > 100000000 THEN 'recommended' WHEN lang = 'en' AND strlen(text) > 1000000 THEN 'optional' ELSE 'skip' END AS policy FROM documents""")
+@query("""SELECT doc_id, CASE WHEN strlen(text) > 100000000 THEN 'large' WHEN lang = 'en' THEN 'access' ELSE 'skip' END AS policy FROM documents""")
 def chunk_hash_policy(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", H.chunk_hash_policy(F.octet_length("text"), F.col("lang") == "en").alias("policy"))

@@ -81,18 +81,31 @@ def required_missing(spark: SparkSession, d: str) -> DataFrame:
     return M.missing_required(present.union(labels), docs, ("lang", "source", "quality"))
 
 
-@query("""WITH p AS (SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'recon' WHEN 1 THEN 'listmode' ELSE 'roi' END AS product, o_orderkey % 5 AS dims, o_custkey % 4 AS m FROM orders)
-SELECT o_orderkey AS product_id, 'missing volume' AS problem FROM p WHERE product = 'recon' AND m <> 0 UNION ALL
-SELECT o_orderkey, 'missing metadata' FROM p WHERE product = 'listmode' AND m <> 1 UNION ALL
-SELECT o_orderkey, 'missing one of raw_data, proc_data' FROM p WHERE product = 'listmode' AND m <> 2 UNION ALL
-SELECT o_orderkey, 'missing one of mask, geometry, contours' FROM p WHERE product = 'roi' AND m <> 3 UNION ALL
+@query("""WITH p AS (SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'recon' WHEN 1 THEN 'listmode' ELSE 'roi' END AS product, o_orderkey % 5 AS dims, o_custkey % 4 AS m FROM orders),
+r(product, problem, m) AS (VALUES ('recon', 'missing volume', 0), ('recon', 'missing metadata', 1), ('recon', 'missing provenance', -1), ('listmode', 'missing metadata', 1), ('listmode', 'missing provenance', -1),
+  ('listmode', 'missing one of raw_data, proc_data', 2), ('roi', 'missing regions', -1), ('roi', 'missing metadata/method', -1), ('roi', 'missing one of mask, geometry, contours', 3))
+SELECT o_orderkey AS product_id, problem FROM p JOIN r ON p.product = r.product AND p.m <> r.m UNION ALL
 SELECT o_orderkey, 'missing frames' FROM p WHERE dims >= 4""")
 def members_missing(spark: SparkSession, d: str) -> DataFrame:
     """Member rules of three product types, one member for each product, and frames for four dimensions."""
     kind = F.expr("case o_orderkey % 3 when 0 then 'recon' when 1 then 'listmode' else 'roi' end")
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("product_id"), kind.alias("product"), (F.col("o_orderkey") % 5).alias("n_dims"), "o_custkey")
-    name = F.expr("case o_custkey % 4 when 0 then 'volume' when 1 then 'metadata' when 2 then 'proc_data' else 'contours' end")
-    return M.missing_members(o.select("product_id", name.alias("name"), F.lit(1).alias("depth")), o.drop("o_custkey"))
+    path = F.expr("case o_custkey % 4 when 0 then 'volume' when 1 then 'metadata' when 2 then 'proc_data' else 'contours' end")
+    return M.missing_members(o.select("product_id", path.alias("path")), o.drop("o_custkey"))
+
+
+@query("""SELECT o_orderkey AS product_id FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderstatus = 'P'""")
+def timestamp_missing(spark: SparkSession, d: str) -> DataFrame:
+    """Every third order is a simulation, which needs no time; pending ones have none."""
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("product_id"), F.expr("case when o_orderkey % 3 = 0 then 'sim' else 'recon' end").alias("product"), F.expr("case when o_orderstatus = 'P' then null else cast(o_orderdate as string) end").alias("ts_raw"))
+    return M.missing_timestamp(o)
+
+
+@query("""SELECT p_partkey AS product_id, p_brand AS name, p_name AS doi FROM part WHERE p_size % 2 = 0""")
+def literature_references(spark: SparkSession, d: str) -> DataFrame:
+    group = F.when(F.col("p_size") % 2 == 0, "references/").otherwise("metadata/")
+    rows = table(spark, d, "part").select(F.col("p_partkey").alias("product_id"), F.concat(group, "p_brand").alias("path"), F.explode(F.array(F.struct(F.lit("doi").alias("key"), F.col("p_name").alias("value")), F.struct(F.lit("title").alias("key"), F.col("p_type").alias("value")))).alias("a"))
+    return M.references(rows.select("product_id", "path", "a.key", "a.value"))
 
 
 @query("""SELECT p_partkey, levenshtein(p_name, p_type)::INTEGER AS edits,

@@ -15,12 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.expressions import sha256
+from ..model import TABLES, product_types
 from ..operators import hashing, metadata
 
-NODES = "product_id string, path string, parent string, name string, depth int, kind string"
-ATTRS = "product_id string, path string, key string, value string, value_type string"
 CHUNKS = "product_id string, path string, chunk_idx long, origin array<long>, extent array<long>, data binary"
-TABLES = ("nodes", "attrs", "chunks", "products", "sources")
 
 
 def canonical(value: object) -> str:
@@ -51,9 +49,9 @@ class ProductWriter:
 
     def __init__(self, spark: SparkSession, store: str, product: str, identity: dict[str, object], name: str, description: str, timestamp: str | None = None, schema: dict | None = None):
         self.spark, self.store = spark, store.rstrip("/")
-        wanted = hashing.IDENTITY_INPUTS.get(product)
-        if wanted is not None and tuple(identity) != wanted:
-            raise ValueError(f"{product} is identified by {', '.join(wanted)}")
+        kind = product_types().get(product)
+        if kind is not None and tuple(identity) != kind.identity:
+            raise ValueError(f"{product} is identified by {', '.join(kind.identity)}")
         self.root = {"_schema": json.dumps(schema or {}), "_schema_version": 1, "product": product, "name": name, "description": description, "id_inputs": " + ".join(("product", *identity)), "timestamp": timestamp}
         self.identity = [str(v) if v is not None else "" for v in (product, *identity.values())]
         self.tree: dict = {}
@@ -107,9 +105,9 @@ class ProductWriter:
         nodes = [(ident, p, None if p == "/" else (p.rsplit("/", 1)[0] or "/"), p.rsplit("/", 1)[1], 0 if p == "/" else p.count("/"), "dataset" if p in data_paths else "group") for p in sorted(paths)]
         staging = f"{self.store}/.staging-{uuid.uuid4().hex}"
         chunks.withColumn("chunk_hash", hashing.chunk_hash(F.col("data"))).write.parquet(f"{staging}/chunks")
-        attrs = spark.createDataFrame(rows, ATTRS)
+        attrs = spark.createDataFrame(rows, TABLES["attrs"])
         attrs.write.parquet(f"{staging}/attrs")
-        spark.createDataFrame(nodes, NODES).write.parquet(f"{staging}/nodes")
+        spark.createDataFrame(nodes, TABLES["nodes"]).write.parquet(f"{staging}/nodes")
         spark.createDataFrame([(ident, *x) for x in self.links], "product_id string, name string, source_id string, content_hash string, role string, file string").write.parquet(f"{staging}/sources")
         seal = content_hash(spark, staging).first()["content_hash"]
         product = [(ident, self.root["product"], self.root["name"], self.root["description"], self.root["timestamp"], self.root["_schema"], seal)]

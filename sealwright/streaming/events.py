@@ -10,9 +10,13 @@ def event_stream(spark: SparkSession, folder: str, schema: str, files_per_trigge
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
 
 
-def windowed_counts(events: DataFrame, time: str = "ts", keys: list[str] = (), width: str = "10 minutes", late: str = "1 hour") -> DataFrame:
-    """Counts and sums for each tumbling window; state is dropped once the watermark has passed a window."""
-    return events.withWatermark(time, late).groupBy(F.window(time, width), *keys).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+def windowed_counts(events: DataFrame, time: str = "ts", keys: list[str] = (), width: str = "10 minutes", late: str | None = "1 hour") -> DataFrame:
+    """Counts and sums for each tumbling window; state is dropped once the watermark has passed a window.
+
+    ``late=None`` keeps the watermark that the events have already.
+    """
+    marked = events if late is None else events.withWatermark(time, late)
+    return marked.groupBy(F.window(time, width), *keys).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
 
 
 def sessions(events: DataFrame, time: str = "ts", key: str = "user_id", gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:

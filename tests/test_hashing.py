@@ -2,6 +2,7 @@ import hashlib
 
 from pyspark.sql import functions as F
 
+from sealwright.model import ProductType, product_types, register
 from sealwright.operators import hashing as H
 
 
@@ -17,8 +18,8 @@ def test_identity_keeps_positions(spark):
 
 def test_identity_by_product(spark):
     df = spark.createDataFrame([("device_data", "m", "t"), ("other", "m", "t")], "product string, device_model string, recording_start string")
-    for names in H.IDENTITY_INPUTS.values():
-        for n in names:
+    for kind in product_types().values():
+        for n in kind.identity:
             if n not in df.columns:
                 df = df.withColumn(n, F.lit("z"))
     got = [r[0] for r in df.select(H.identity_by_product()).collect()]
@@ -43,8 +44,8 @@ def _nodes(spark, a="x", b="y", companions=False):
 def test_tree_hash(spark):
     seal = lambda **k: H.tree_hash(_nodes(spark, **k)).first()["content_hash"]
     raw = bytes.fromhex
-    group = sha(raw(sha(b"")) + raw(sha(raw(sha(b"data")))))
-    root = sha(raw(sha(b"x")) + raw(sha(raw(group))))
+    group = sha(raw(sha(b"")) + raw(sha(b"data")))
+    root = sha(raw(sha(b"x")) + raw(group))
     assert seal() == "sha256:" + sha(raw(root))
     assert seal(companions=True) == seal()
     assert seal(a="changed") != seal()
@@ -61,5 +62,18 @@ def test_verify(spark):
 
 
 def test_policy(spark):
-    got = spark.createDataFrame([(2 * 10**8, False), (2 * 10**6, True), (5, True)], "n long, s boolean").select(H.chunk_hash_policy(F.col("n"), F.col("s")))
-    assert [r[0] for r in got.collect()] == ["recommended", "optional", "skip"]
+    got = spark.createDataFrame([(2 * 10**8, False), (2 * 10**6, True), (5, False)], "n long, s boolean").select(H.chunk_hash_policy(F.col("n"), F.col("s")))
+    assert [r[0] for r in got.collect()] == ["large", "access", "skip"]
+
+
+def test_registry():
+    kind = ProductType(("sample_id", "run_id"), ("variants",))
+    register("alignment", kind)
+    register("alignment", kind)
+    assert product_types()["alignment"] == kind
+    try:
+        register("recon", kind)
+    except ValueError:
+        pass
+    else:
+        raise AssertionError("a type was replaced")

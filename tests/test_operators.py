@@ -82,6 +82,12 @@ def test_gaussian_fit(spark):
     df = spark.createDataFrame([("a", float(a), float(b), 1.0) for a, b in zip(x, y)], "k string, x double, n double, err double")
     row = G.fit(df, "k", "gaussian").first()
     assert np.allclose(row["values"], [100, 1, 1.5], atol=1e-4) and row.chi_squared < 1e-6
+    assert G.fit(df, "k", "voigt").first().chi_squared < 1.0
+    line = (lambda x, p: p[0] + p[1] * x, lambda x, y: [0.0, 0.0])
+    row = G.fit(df.withColumn("n", 3 + 2 * F.col("x")), "k", line).first()
+    assert np.allclose(row["values"], [3, 2])
+    two = df.withColumn("x", F.col("x") + 5).withColumn("n", 90 * F.exp(-2.0 * F.col("x")) + 30 * F.exp(-0.3 * F.col("x")))
+    assert np.allclose(sorted(G.fit(two, "k", "multi_exponential").first()["values"]), [0.3, 2, 30, 90], rtol=1e-3)
     row = G.fit(df.withColumn("n", 50 * F.exp(-0.3 * F.col("x"))), "k", "exponential").first()
     assert np.allclose(row["values"], [50, 0.3], atol=1e-6)
 
@@ -105,6 +111,11 @@ def test_as_of_ties(spark):
     assert got == {("a", 5): 2.0, ("a", 1): None, ("b", 5): None}
 
 
+def test_calibration_types(spark):
+    df = spark.createDataFrame([(1, "gain_map", ["gain_map"]), (2, "normalization", ["norm_factors"]), (3, "other", []), (4, "cross_calibration", [])], "product_id int, calibration_type string, names array<string>")
+    assert [r.product_id for r in K.incomplete(df).collect()] == [2, 3]
+
+
 def test_in_force(spark):
     cal = spark.createDataFrame([(1, "2024-01-01", "indefinite"), (2, "2024-01-01", "2024-02-01"), (3, "2025-01-01", None)], "i int, valid_from string, valid_until string")
     assert [r.i for r in K.in_force(cal, F.lit("2024-06-01")).collect()] == [1]
@@ -144,7 +155,7 @@ def test_stream(spark, tmp_path):
     df = spark.createDataFrame(rows, "event_id long, ts string, user_id int, value double").withColumn("ts", F.to_timestamp("ts"))
     df.union(df.limit(5)).write.parquet(f"{tmp_path}/in")
     stream = E.deduplicated(E.event_stream(spark, f"{tmp_path}/in", df._jdf.schema().toDDL()))
-    q = E.windowed_counts(stream).writeStream.format("memory").queryName("counts").outputMode("append").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    q = E.windowed_counts(stream, late=None).writeStream.format("memory").queryName("counts").outputMode("append").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
     q.awaitTermination(120)
     batch = df.groupBy(F.window("ts", "10 minutes")).count()
     assert batch.count() == 4 and spark.table("counts").count() <= 4

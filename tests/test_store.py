@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from sealwright.sources import exports as E
 from sealwright.sources import store as S
 
-IDENT = {"scanner": "s", "vendor_series_id": "1", "timestamp": "2024-07-24T18:14:00+02:00"}
+IDENT = {"timestamp": "2024-07-24T18:14:00+02:00", "scanner_uuid": "s", "vendor_series_id": "1"}
 
 
 def make(spark, store, name="n", **meta):
@@ -61,17 +61,22 @@ def test_attachments():
 
 
 def test_manifest_round_trip(spark):
-    rows = [{"product_id": "b", "product": "roi", "n": 2, "sources": ["a"], "ok": True, "x": None}, {"product_id": "a", "product": "recon", "n": 1, "sources": [], "ok": False, "x": 'q"\n'}]
-    back = {r.product_id: r for r in E.parse_manifest(spark, E.manifest_toml(rows)).collect()}
-    assert back["a"].x == 'q"\n' and back["b"].x is None and back["b"].sources == ["a"] and back["b"].ok
+    rows = [{"id": "b", "product": "roi", "n": 2, "sources": ["a"], "ok": True, "x": None}, {"id": "a", "product": "recon", "n": 1, "sources": [], "ok": False, "x": 'q"\n', "duration": {"value": 367.0, "units": "s", "unitSI": 1.0}}]
+    text = E.manifest_toml(rows, "dd01", {"study": {"type": "clinical", "site": {"name": "z"}}})
+    assert text.index('id = "a"') < text.index('id = "b"') and "duration_s = 367.0" in text
+    back = {r.id: r for r in E.parse_manifest(spark, text).collect()}
+    assert back["a"].x == 'q"\n' and back["b"].x is None and back["b"].sources == ["a"] and back["b"].ok and back["a"].duration_s == 367.0
+    assert E.parse_context(text) == {"_schema_version": 1, "dataset_name": "dd01", "study": {"type": "clinical", "site": {"name": "z"}}}
     assert E.parse_manifest(spark, "").count() == 0
 
 
 def test_texts():
-    rows = [{"ts_raw": "2024-07-24T18:14:00+02:00", "product": "recon"}, {"ts_raw": "2024-08-01T00:00:00+02:00", "product": "roi"}]
-    text = E.datacite(rows, "T", [{"name": "A", "affiliation": "B", "orcid": "0"}], "CC-BY-4.0")
-    assert '"2024-07-24/2024-08-01"' in text and text.count("subject:") == 2
-    assert '"hasPart"' in E.crate(['{"@id": "x"}'], "n", "l", [{"name": "A"}])
+    rows = [{"timestamp": "2024-07-24T18:14:00+02:00", "scan_type": "pet"}, {"timestamp": "2024-08-01T00:00:00+02:00", "scan_type": "ct"}]
+    text = E.datacite(rows, "T", [{"name": "A", "affiliation": "B"}])
+    assert '"2024-07-24/2024-08-01"' in text and text.count("subject:") == 2 and 'resourceType: "Dataset"' in text
+    graph = E.crate(['{"@id": "x.h5"}'], "n", "CC-BY-4.0", [{"name": "A", "orcid": "https://orcid.org/0"}], [{"file": "x.h5", "tool": "t", "tool_version": "1", "timestamp": "now"}])
+    kinds = [g["@type"] for g in __import__("json").loads(graph)["@graph"] if "@type" in g]
+    assert kinds == ["CreativeWork", "Dataset", "SoftwareApplication", "CreateAction"]
     assert E.schema_dump('{"b":1,"a":2}').startswith('{\n  "a"')
 
 
