@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import WORD, cut
 
-BLOCK, ROWS, SHARD_SLOTS = 256, 20_000, 64
+BLOCK, ROWS, SHARD_SLOTS = 64, 2_000, 256
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, MOST = 1.5, 2.0
 #: Primes of which the first that does not divide a range's length permutes it.
@@ -132,12 +132,13 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     sources = cut(targets(sized), "sources")
     known = _known(sized, sources)
     read = slots(sources, block).groupBy("no", "block").agg(F.sum(F.when(F.col("share") == 1.0, 1).otherwise(0)).alias("times"), F.max(F.when(F.col("share") < 1.0, F.col("share"))).alias("part"))
+    # slots are opened up from a few rows, so Spark takes their number for small: the hint keeps it from broadcasting them
     # the parts of documents in blocks; places in a stream are unique for documents with a word
     parts = pack(known.where("size > 0"))
     parts = parts.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))))
     lo = F.greatest(F.col("start") - F.col("block") * block, F.lit(0))
     hi = F.least(F.col("start") + F.col("size") - F.col("block") * block, F.lit(block))
-    joined = parts.withColumn("lo", lo).withColumn("hi", hi).join(read, ["no", "block"], "left")
+    joined = parts.withColumn("lo", lo).withColumn("hi", hi).join(read.hint("merge"), ["no", "block"], "left")
     length = F.least(F.lit(block), F.col("source_size") - F.col("block") * block)
     some = F.greatest(F.least(F.col("hi"), F.floor(F.coalesce("part", F.lit(0.0)) * length)) - F.col("lo"), F.lit(0))
     words = F.coalesce("times", F.lit(0)) * (F.col("hi") - F.col("lo")) + some

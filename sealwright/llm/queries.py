@@ -171,22 +171,22 @@ k AS (SELECT level FROM l WHERE level * w <= cap ORDER BY cap / w, no LIMIT 1),
 s AS (SELECT l.src, n, no, source_size, CASE WHEN k.level IS NULL THEN cap ELSE least(cap, k.level * w) END AS target FROM l LEFT JOIN k ON true),
 p AS (
   SELECT d.id, d.size, s.no, s.source_size, s.target,
-    coalesce(sum(d.size) OVER (PARTITION BY s.no ORDER BY d.h % ceil(s.n / 20000::DOUBLE)::BIGINT, d.h, d.id NULLS FIRST, d.size
+    coalesce(sum(d.size) OVER (PARTITION BY s.no ORDER BY d.h % ceil(s.n / {mix.ROWS}::DOUBLE)::BIGINT, d.h, d.id NULLS FIRST, d.size
       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
   FROM d JOIN s ON d.src IS NOT DISTINCT FROM s.src),
 q AS (
   SELECT no, blocks, floor(reads)::BIGINT AS slots, reads - floor(reads) AS part FROM (
-    SELECT no, ceil(source_size / 256::DOUBLE)::BIGINT AS blocks, least(target / source_size, 2::DOUBLE) * ceil(source_size / 256::DOUBLE) AS reads FROM s WHERE source_size > 0)),
+    SELECT no, ceil(source_size / {mix.BLOCK}::DOUBLE)::BIGINT AS blocks, least(target / source_size, 2::DOUBLE) * ceil(source_size / {mix.BLOCK}::DOUBLE) AS reads FROM s WHERE source_size > 0)),
 e AS (SELECT no, blocks, slots, part, unnest(range(0, slots + CASE WHEN part > 0 THEN 1 ELSE 0 END)) AS nth FROM q),
 r AS (
   SELECT no, (a * (nth % blocks) + ('0x' || substr(md5('1:' || (no * 2 + nth // blocks)::VARCHAR), 1, 5))::BIGINT) % blocks AS block,
     count(*) FILTER (WHERE nth < slots) AS times, max(part) FILTER (WHERE nth >= slots) AS part
   FROM (SELECT *, CASE {_PRIMES} END AS a FROM e) GROUP BY 1, 2),
-b AS (SELECT *, unnest(range(start // 256, (start + size - 1) // 256 + 1)) AS block FROM p WHERE size > 0),
-c AS (SELECT *, greatest(start - block * 256, 0) AS lo, least(start + size - block * 256, 256) AS hi FROM b),
+b AS (SELECT *, unnest(range(start // {mix.BLOCK}, (start + size - 1) // {mix.BLOCK} + 1)) AS block FROM p WHERE size > 0),
+c AS (SELECT *, greatest(start - block * {mix.BLOCK}, 0) AS lo, least(start + size - block * {mix.BLOCK}, {mix.BLOCK}) AS hi FROM b),
 t AS (
   SELECT c.id, c.start, c.no, c.size, c.source_size, c.target,
-    sum(coalesce(r.times, 0) * (hi - lo) + greatest(least(hi, floor(coalesce(r.part, 0) * least(256, c.source_size - c.block * 256))::BIGINT) - lo, 0))::BIGINT AS taken
+    sum(coalesce(r.times, 0) * (hi - lo) + greatest(least(hi, floor(coalesce(r.part, 0) * least({mix.BLOCK}, c.source_size - c.block * {mix.BLOCK}))::BIGINT) - lo, 0))::BIGINT AS taken
   FROM c LEFT JOIN r ON c.no = r.no AND c.block = r.block GROUP BY ALL)
 SELECT id AS doc_id, size, source_size, target, taken FROM t
 UNION ALL SELECT id, size, source_size, target, 0 FROM p WHERE size = 0

@@ -12,7 +12,7 @@ Only queries and blocks are copied, never pairs.
 
 Vectors that are null or hold null or non-finite components take no part; so do those with a null id. An empty vector
 takes no part either. A query meets only candidates of its own length. Rows with equal ids are separate candidates (in
-order of their weights), none a candidate of a query of that id; repeated query rows give one result. Fewer than k
+order of their weights), none a candidate of a query of that id; of repeated query rows the least vector is the query. Fewer than k
 candidates give fewer rows; an empty table none. Extra columns are ignored.
 """
 
@@ -81,7 +81,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     vectors = vectors.groupBy("id", "w").agg(F.count(F.lit(1)).alias("n")).withColumn("dim", F.size("w"))
     vectors = vectors.select("dim", "id", "w", F.least("n", F.lit(k)).alias("n"))
     n = vectors.groupBy("dim").agg(F.sum("n").alias("n"))
-    queries = queries.groupBy("id").agg(F.first("w").alias("w")).select("id", "w", F.size("w").alias("dim"))
+    queries = queries.groupBy("id").agg(F.min("w").alias("w")).select("id", "w", F.size("w").alias("dim"))
     m = queries.groupBy("dim").agg(F.count(F.lit(1)).alias("m"))
     sizes = n.join(m, "dim").collect()  # one row for each vector length
     spark = vectors.sparkSession
