@@ -17,16 +17,28 @@ def incomplete(data: DataFrame) -> DataFrame:
     return data.where(~known)
 
 
-def as_of(rows: DataFrame, calibrations: DataFrame, key: list[str], at: str, since: str, value: str, out: str = "calibration") -> DataFrame:
+def as_of(rows: DataFrame, calibrations: DataFrame, key: list[str], at: str, since: str, value: str, out: str = "calibration", bucket: Column | None = None) -> DataFrame:
     """Rows with the value of the latest calibration of their key at or before their time.
 
     A union in time order and the last value before, partitioned by key: no range join. At equal times the calibration
     comes first; of calibrations with equal times the largest value counts.
+
+    ``bucket``, a coarse expression of the time that never falls (such as its day), splits hot keys: windows then run
+    within (key, bucket), and what a bucket inherits comes from one row for each earlier bucket.
     """
     cal = calibrations.groupBy(*key, F.col(since).alias(at)).agg(F.max(value).alias("__v")).withColumn("__k", F.lit(0))
     both = rows.withColumn("__k", F.lit(1)).unionByName(cal, allowMissingColumns=True)
-    w = Window.partitionBy(*key).orderBy(at, "__k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return both.withColumn(out, F.last("__v", ignorenulls=True).over(w)).where("__k = 1").drop("__k", "__v")
+    part = key
+    if bucket is not None:
+        both, part = both.withColumn("__b", bucket), [*key, "__b"]
+    w = Window.partitionBy(*part).orderBy(at, "__k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = both.withColumn(out, F.last("__v", ignorenulls=True).over(w)).where("__k = 1").drop("__k", "__v")
+    if bucket is None:
+        return found
+    ends = both.groupBy(*part).agg(F.max_by("__v", F.when(F.col("__v").isNotNull(), F.col(at))).alias("__end"))
+    before = Window.partitionBy(*key).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(*part, F.last("__end", ignorenulls=True).over(before).alias("__carried"))
+    return found.join(carried, part, "left").withColumn(out, F.coalesce(out, "__carried")).drop("__b", "__carried")
 
 
 def validity(calibrations: DataFrame, key: list[str], since: str, until: str = "valid_until", tie: list[str] = ()) -> DataFrame:

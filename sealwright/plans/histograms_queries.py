@@ -159,7 +159,7 @@ def calibration_asof(spark: SparkSession, d: str) -> DataFrame:
     """The calibration (a signup's value) in force at every event."""
     e = table(spark, d, "events").select("event_id", "user_id", "ts", "event_type", "value")
     cal = e.where("event_type = 'signup'").select("user_id", "ts", "value")
-    return K.as_of(e.select("event_id", "user_id", "ts"), cal, ["user_id"], "ts", "ts", "value").select("event_id", "user_id", "calibration")
+    return K.as_of(e.select("event_id", "user_id", "ts"), cal, ["user_id"], "ts", "ts", "value", bucket=F.to_date("ts")).select("event_id", "user_id", "calibration")
 
 
 @query("SELECT event_id, user_id, ts AS valid_from, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS valid_until FROM events WHERE event_type = 'signup'")

@@ -111,6 +111,15 @@ def test_as_of_ties(spark):
     assert got == {("a", 5): 2.0, ("a", 1): None, ("b", 5): None}
 
 
+def test_as_of_in_buckets(spark):
+    r = np.random.default_rng(2)
+    rows = spark.createDataFrame([("ab"[i % 2], int(t), i) for i, t in enumerate(r.integers(0, 300, 200))], "k string, t int, i int")
+    cal = spark.createDataFrame([("a", int(t), float(t)) for t in r.integers(0, 300, 9)], "k string, t int, v double")
+    args = (rows, cal, ["k"], "t", "t", "v")
+    plain, split = K.as_of(*args), K.as_of(*args, bucket=F.floor(F.col("t") / 25))
+    assert sorted(map(str, plain.select("i", "calibration").collect())) == sorted(map(str, split.select("i", "calibration").collect()))
+
+
 def test_calibration_types(spark):
     df = spark.createDataFrame([(1, "gain_map", ["gain_map"]), (2, "normalization", ["norm_factors"]), (3, "other", []), (4, "cross_calibration", [])], "product_id int, calibration_type string, names array<string>")
     assert [r.product_id for r in K.incomplete(df).collect()] == [2, 3]

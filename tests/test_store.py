@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from sealwright.sources import exports as E
 from sealwright.sources import store as S
 
-IDENT = {"timestamp": "2024-07-24T18:14:00+02:00", "scanner_uuid": "s", "vendor_series_id": "1"}
+IDENT = {"timestamp": "2023-03-05T09:30:00+01:00", "scanner_uuid": "s", "vendor_series_id": "1"}
 
 
 def make(spark, store, name="n", **meta):
@@ -62,18 +62,18 @@ def test_attachments():
 
 def test_manifest_round_trip(spark):
     rows = [{"id": "b", "product": "roi", "n": 2, "sources": ["a"], "ok": True, "x": None}, {"id": "a", "product": "recon", "n": 1, "sources": [], "ok": False, "x": 'q"\n', "duration": {"value": 367.0, "units": "s", "unitSI": 1.0}}]
-    text = E.manifest_toml(rows, "dd01", {"study": {"type": "clinical", "site": {"name": "z"}}})
+    text = E.manifest_toml(rows, "set1", {"study": {"type": "clinical", "site": {"name": "z"}}})
     assert text.index('id = "a"') < text.index('id = "b"') and "duration_s = 367.0" in text
     back = {r.id: r for r in E.parse_manifest(spark, text).collect()}
     assert back["a"].x == 'q"\n' and back["b"].x is None and back["b"].sources == ["a"] and back["b"].ok and back["a"].duration_s == 367.0
-    assert E.parse_context(text) == {"_schema_version": 1, "dataset_name": "dd01", "study": {"type": "clinical", "site": {"name": "z"}}}
+    assert E.parse_context(text) == {"_schema_version": 1, "dataset_name": "set1", "study": {"type": "clinical", "site": {"name": "z"}}}
     assert E.parse_manifest(spark, "").count() == 0
 
 
 def test_texts():
-    rows = [{"timestamp": "2024-07-24T18:14:00+02:00", "scan_type": "pet"}, {"timestamp": "2024-08-01T00:00:00+02:00", "scan_type": "ct"}]
+    rows = [{"timestamp": "2023-03-05T09:30:00+01:00", "scan_type": "pet"}, {"timestamp": "2023-04-01T00:00:00+02:00", "scan_type": "ct"}]
     text = E.datacite(rows, "T", [{"name": "A", "affiliation": "B"}])
-    assert '"2024-07-24/2024-08-01"' in text and text.count("subject:") == 2 and 'resourceType: "Dataset"' in text
+    assert '"2023-03-05/2023-04-01"' in text and text.count("subject:") == 2 and 'resourceType: "Dataset"' in text
     graph = E.crate(['{"@id": "x.h5"}'], "n", "CC-BY-4.0", [{"name": "A", "orcid": "https://orcid.org/0"}], [{"file": "x.h5", "tool": "t", "tool_version": "1", "timestamp": "now"}])
     kinds = [g["@type"] for g in __import__("json").loads(graph)["@graph"] if "@type" in g]
     assert kinds == ["CreativeWork", "Dataset", "SoftwareApplication", "CreateAction"]
@@ -81,9 +81,9 @@ def test_texts():
 
 
 def test_names(spark):
-    df = spark.createDataFrame([("2024-07-24_18-14-00_recon-87f032f6_ct_axial.h5",), ("sim-a1b2c3d4.h5",), ("nonsense",)], "name string")
+    df = spark.createDataFrame([("2023-03-05_09-30-00_recon-0a1b2c3d_left_axial.h5",), ("sim-a1b2c3d4.h5",), ("nonsense",)], "name string")
     got = [tuple(r) for r in df.select(*E.parse_name(F.col("name")).values()).collect()]
-    assert got == [("2024-07-24_18-14-00", "recon", "87f032f6", "ct_axial"), (None, "sim", "a1b2c3d4", None), (None, None, None, None)]
+    assert got == [("2023-03-05_09-30-00", "recon", "0a1b2c3d", "left_axial"), (None, "sim", "a1b2c3d4", None), (None, None, None, None)]
 
 
 def test_write_text(spark, tmp_path):
