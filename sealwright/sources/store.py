@@ -10,6 +10,7 @@ import json
 import uuid
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,6 +45,62 @@ def chunks_of(array: np.ndarray, shape: tuple[int, ...]):
         yield i, origin, list(part.shape), little.tobytes()
 
 
+def to_chunks(cells: DataFrame, axes: list[str], shape: list[int], chunk: list[int], dtype: str = "<f4", value: str = "v", keys: list[str] = ()) -> DataFrame:
+    """Chunk rows (chunk_idx, origin, extent, data) of an array in long form, for :meth:`ProductWriter.write_chunks`.
+
+    One shuffle by chunk; a chunk's cells meet in one row, as many as a chunk holds. Absent cells are 0.
+    """
+    at = [F.floor(F.col(a) / c) for a, c in zip(axes, chunk)]
+    index = hashing.chunk_index(at, [-(-n // c) for n, c in zip(shape, chunk)])
+    inside = hashing.chunk_index([F.col(a) % c for a, c in zip(axes, chunk)], chunk).cast("int")
+    rows = cells.groupBy(*keys, index.alias("chunk_idx"), F.array(*[a * c for a, c in zip(at, chunk)]).cast("array<bigint>").alias("origin"))
+    rows = rows.agg(F.collect_list(F.struct(inside.alias("i"), F.col(value).cast("double").alias("v"))).alias("cells"))
+    extent = F.zip_with("origin", F.array(*_limits(shape, chunk)), lambda o, s: F.least(s["chunk"].cast("bigint"), s["n"].cast("bigint") - o))
+
+    @F.pandas_udf(T.BinaryType())
+    def pack(places: pd.Series, values: pd.Series, extents: pd.Series) -> pd.Series:
+        out = []
+        for i, v, e in zip(places, values, extents):
+            full = np.zeros(int(np.prod(chunk)), np.dtype(dtype))
+            full[np.asarray(i, int)] = v
+            out.append(np.ascontiguousarray(full.reshape(chunk)[tuple(slice(0, int(n)) for n in e)]).tobytes())
+        return pd.Series(out, dtype=object)
+
+    rows = rows.withColumn("extent", extent)
+    return rows.select(*keys, "chunk_idx", "origin", "extent", pack(F.col("cells.i"), F.col("cells.v"), "extent").alias("data"))
+
+
+def _limits(shape: list[int], chunk: list[int]) -> list:
+    return [F.struct(F.lit(n).alias("n"), F.lit(c).alias("chunk")) for n, c in zip(shape, chunk)]
+
+
+def from_chunks(chunks: DataFrame, axes: list[str], dtype: str = "<f4", keys: list[str] = ()) -> DataFrame:
+    """The long form of chunk rows; a filter on origins before it keeps other chunks unread."""
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def unpack(data: pd.Series) -> pd.Series:
+        return pd.Series([np.frombuffer(x, np.dtype(dtype)).astype(float) for x in data], dtype=object)
+
+    rows = chunks.select(*keys, "origin", "extent", F.posexplode(unpack("data")).alias("i", "v"))
+    rest, places = F.col("i").cast("bigint"), []
+    for k in reversed(range(len(axes))):
+        n = F.col("extent")[k]
+        places.insert(0, (F.col("origin")[k] + rest % n).alias(axes[k]))
+        rest = F.floor(rest / n)
+    return rows.select(*keys, *places, "v")
+
+
+def read_slice(chunks: DataFrame, axes: list[str], dtype: str = "<f4", **at: int) -> DataFrame:
+    """Cells at given indexes: only the chunks that hold them are decoded."""
+    for a, i in at.items():
+        k = axes.index(a)
+        chunks = chunks.where((F.col("origin")[k] <= i) & (F.col("origin")[k] + F.col("extent")[k] > i))
+    out = from_chunks(chunks, axes, dtype)
+    for a, i in at.items():
+        out = out.where(F.col(a) == i)
+    return out
+
+
 class ProductWriter:
     """``with create(spark, store, product="recon", ...) as p: p.write_volume(...); p.write_metadata({...})``."""
 

@@ -47,6 +47,21 @@ def test_chunks_cover_the_array():
     assert (got == a).all()
 
 
+def test_chunks_in_long_form(spark, tmp_path):
+    a = np.random.default_rng(1).random((5, 4, 3)).astype("f4")
+    cells = spark.createDataFrame([(*map(int, i), float(v)) for i, v in np.ndenumerate(a)], "z long, y long, x long, v double")
+    made = S.to_chunks(cells, ["z", "y", "x"], [5, 4, 3], [2, 3, 2])
+    got = {r.chunk_idx: (r.origin, r.extent, bytes(r.data)) for r in made.collect()}
+    assert got == {i: (o, e, raw) for i, o, e, raw in S.chunks_of(a, (2, 3, 2))}
+    back = {(r.z, r.y, r.x): r.v for r in S.from_chunks(made, ["z", "y", "x"]).collect()}
+    assert back == {i: float(v) for i, v in np.ndenumerate(a)}
+    assert {(r.y, r.x): r.v for r in S.read_slice(made, ["z", "y", "x"], z=4).collect()} == {i: float(v) for i, v in np.ndenumerate(a[4])}
+    with S.create(spark, f"file://{tmp_path}", product="recon", identity=IDENT, name="n", description="d") as p:
+        p.write_chunks(made, "/volume")
+    stored = S.read(spark, f"file://{tmp_path}", "chunks")
+    assert stored.count() == len(got) and p.content_hash.startswith("sha256:")
+
+
 def test_original_files(spark, tmp_path):
     (tmp_path / "a").write_bytes(b"x")
     row = S.original_files(spark, f"file://{tmp_path}").first()
