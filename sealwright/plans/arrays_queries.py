@@ -143,15 +143,16 @@ def truth_compare(spark: SparkSession, d: str) -> DataFrame:
     return A.compare(v, truth, ["label", "i"], ["label"]).select("label", F.round("rmse", 6).alias("rmse"), F.abs(F.round("bias", 6)).alias("bias"))
 
 
-@query("SELECT event_id, user_id, CASE WHEN event_id % 2 = 0 THEN 'recon' ELSE 'sim' END AS product, CASE WHEN event_id % 3 = 0 THEN 'patlak' ELSE 'osem' END AS reconstruction_type FROM events WHERE event_id % 6 = 0")
+@query("SELECT event_id, 'recon' AS product, 'patlak' AS reconstruction_type FROM events WHERE event_type = 'view' AND value >= 100")
 def parametric_maps(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").select("event_id", "user_id", F.expr("case when event_id % 2 = 0 then 'recon' else 'sim' end").alias("product"), F.expr("case when event_id % 3 = 0 then 'patlak' else 'osem' end").alias("reconstruction_type"))
-    return A.parametric_maps(e, ["patlak", "logan"])
+    """Views stand for reconstructions, large values for those by a kinetic model."""
+    product, model = F.when(F.col("event_type") == "view", "recon").otherwise("sim"), F.when(F.col("value") >= 100, "patlak").otherwise("osem")
+    return A.parametric_maps(table(spark, d, "events").select("event_id", product.alias("product"), model.alias("reconstruction_type")), ["patlak", "logan"])
 
 
-@query("SELECT o_orderkey FROM orders WHERE o_orderkey % 2 = 0 AND o_orderkey % 3 = 0")
+@query("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_totalprice >= 100000")
 def corrections_applied(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") % 2 == 0).alias("scatter"), (F.col("o_orderkey") % 3 == 0).alias("randoms"))
+    o = table(spark, d, "orders").select("o_orderkey", (F.col("o_orderstatus") == "F").alias("scatter"), (F.col("o_totalprice") >= 100000).alias("randoms"))
     return A.corrections_applied(o, "scatter", "randoms").select("o_orderkey")
 
 

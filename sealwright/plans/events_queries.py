@@ -99,9 +99,9 @@ def event_tables(spark: SparkSession, d: str) -> DataFrame:
     return M.additive(part("click", "single", "measured"), part("purchase", "coincidence", "measured"), part("view", "coincidence", "simulated"))
 
 
-@query("SELECT event_id, user_id FROM events WHERE event_id % 2 = 1")
+@query("SELECT event_id, user_id FROM events WHERE event_type <> 'error'")
 def synchronised(spark: SparkSession, d: str) -> DataFrame:
-    return S.synchronised(_events(spark, d).withColumn("run_control", F.col("event_id") % 2 == 1)).select("event_id", "user_id")
+    return S.synchronised(_events(spark, d).withColumn("run_control", F.col("event_type") != "error")).select("event_id", "user_id")
 
 
 @query("""WITH f AS (SELECT user_id, epoch_us(ts)::DOUBLE AS s, max(value * 60000000)::DOUBLE AS w FROM events WHERE event_type = 'purchase' GROUP BY ALL)
