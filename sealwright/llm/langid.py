@@ -206,17 +206,18 @@ def with_language(docs: DataFrame, model: Model, text: str = "text", out: str =
     return docs.withColumn(out, F.pandas_udf(run, GUESS).asNondeterministic()(F.col(text)))
 
 
-def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", chars_per_lang: int = 40_000, docs_per_lang: int = 200, chars_per_doc: int = 2_000) -> Model:
+def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", chars_per_lang: int = 40_000, docs_per_lang: int = 200, chars_per_doc: int = 2_000, most_languages: int = 400) -> Model:
     """A model from a bounded sample of labelled rows.
 
     For each language the documents with the smallest key hashes are taken, ``docs_per_lang`` or a few more, up to
     ``chars_per_doc`` characters of each and ``chars_per_lang`` in all. Rows are counted first (no text is read for
-    that), so that the sample is drawn by a hash threshold without sorting a language's rows in one place.
+    that), so that the sample is drawn by a hash threshold without sorting a language's rows in one place. Of more than
+    ``most_languages`` labels the most frequent are learned.
     """
-    counts = docs.where(F.col(lang).isNotNull()).groupBy(F.col(lang).alias("l")).agg(F.count(F.lit(1)).alias("n"))
+    counts = docs.where(F.col(lang).isNotNull()).groupBy(F.col(lang).alias("l")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "l").limit(most_languages)
     rows = docs.select(F.xxhash64(F.col(key).cast("string"), F.lit("sample")).alias("h"), F.col(text).alias("t"), F.col(lang).alias("l"))
     most = 2.0**64
-    # a row for each language, as many as the model will hold texts
+    # at most ``most_languages`` rows
     share = docs.sparkSession.createDataFrame([(r.l, min(1.0, 2.0 * docs_per_lang / r.n) * most - most / 2) for r in counts.collect()], "l string, below double")
     drawn = rows.where("l is not null and length(t) > 0").join(F.broadcast(share), "l").where(F.col("h") < F.col("below"))
     got = drawn.select("l", "h", F.substring("t", 1, chars_per_doc).alias("t")).toPandas().sort_values(["l", "h", "t"])
