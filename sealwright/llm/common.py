@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 BLANK = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 _made: list = []
 
 
@@ -43,14 +45,23 @@ def _drop(spark: SparkSession) -> None:
         pass
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: lineage ends, lost executors lose nothing."""
+def cut(df: DataFrame, name: str, rows_per_batch: int = 2_000) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back: lineage ends, lost executors lose nothing.
+
+    While it is planned and written, Arrow batches hold at most ``rows_per_batch`` rows, which bounds the memory of
+    Python workers when rows hold long texts.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sealwright-{name}-{uuid.uuid4().hex}"
     if not _made:
         atexit.register(_drop, spark)
     _made.append(path)
-    df.write.parquet(path)
+    before = spark.conf.get(BATCH, None)
+    spark.conf.set(BATCH, rows_per_batch)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(BATCH) if before is None else spark.conf.set(BATCH, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
