@@ -83,6 +83,11 @@ def offset(rows: DataFrame, offsets: DataFrame, keys: list[str], time: str, by:
     return lookup(rows, offsets, keys).withColumn(time, F.col(time) - F.coalesce(by, F.lit(0.0))).drop(by)
 
 
+def ambient(value: Column, units: Column, factor: Column) -> Column:
+    """Ambient conditions in SI units; degrees Celsius need an offset besides the stored factor."""
+    return value * factor + F.when(units == "degC", 273.15).otherwise(0.0)
+
+
 def cross_calibrated(value: Column, factor: float, error: float) -> tuple[Column, Column]:
     """A value times the cross-calibration factor, and its error."""
     return value * F.lit(factor), F.abs(value) * F.lit(error)

@@ -52,6 +52,37 @@ def type_of(value: object) -> str:
     return {int: "int", float: "float", str: "str", bytes: "bytes"}.get(type(value), "dataset")
 
 
+def attribute_rows(df: DataFrame, keys: list[str], document: str, path: str = "/") -> DataFrame:
+    """(keys, path, key, value, value_type) of JSON documents, level by level; nulls are absent, groups go deeper.
+
+    The JVM-side form of :func:`flatten`: a level is one generator, and there are as many as documents are deep.
+    """
+    out, level = None, df.select(*keys, F.lit(path).alias("path"), F.try_parse_json(document).alias("v"))
+    while True:
+        entries = level.select(*keys, "path", F.explode(F.try_variant_get("v", "$", "map<string,variant>")).alias("key", "v"))
+        entries = entries.withColumn("value_type", F.schema_of_variant("v")).where("value_type <> 'VOID'")
+        group = F.startswith("value_type", F.lit("OBJECT"))
+        flat = entries.where(~group).select(*keys, "path", "key", F.coalesce(F.try_variant_get("v", "$", "string"), F.to_json("v")).alias("value"), "value_type")
+        out = flat if out is None else out.union(flat)
+        level = entries.where(group).select(*keys, F.concat(F.when(F.col("path") == "/", "").otherwise(F.col("path")), F.lit("/"), "key").alias("path"), "v")
+        if level.isEmpty():
+            return out
+
+
+def dataset_units(attrs: DataFrame, keys: list[str], key: str = "key", value: str = "value") -> DataFrame:
+    """Units and factor that stand on datasets themselves."""
+    of = lambda name: F.max(F.when(F.col(key) == name, F.col(value)))
+    return attrs.groupBy(*keys).agg(of("units").alias("units"), of("unitSI").cast("double").alias("unit_si")).where("units is not null")
+
+
+#: A licence as an SPDX identifier or a URL.
+LICENCE = r"^(https?://\S+|[A-Za-z0-9.+]+(-[A-Za-z0-9.+]+)*)$"
+
+
+def is_licence(c: Column) -> Column:
+    return F.coalesce(c.rlike(LICENCE), F.lit(False))
+
+
 def groups_as_maps(attrs: DataFrame, keys: list[str], key: str = "key", value: str = "value") -> DataFrame:
     """Each group's attributes as one map, keys in order."""
     pairs = F.sort_array(F.collect_list(F.struct(F.col(key), F.col(value))))
@@ -197,7 +228,7 @@ def validate_json(document: dict, schema: dict, path: str = "") -> list[str]:
 
 def licence_ready(licence: str | None) -> bool:
     """Whether a licence is an SPDX identifier or a URL."""
-    return bool(licence) and bool(re.fullmatch(r"https?://\S+|[A-Za-z0-9.+-]+(-[A-Za-z0-9.+]+)*", licence))
+    return bool(licence) and bool(re.match(LICENCE, licence))
 
 
 def creators_ready(creators: list[dict] | None) -> bool:

@@ -120,3 +120,23 @@ def export_jsonld(spark: SparkSession, d: str) -> DataFrame:
     products = table(spark, d, "customer").join(first, F.col("c_custkey") == F.col("o_custkey"), "left")
     products = products.select(seal("c_custkey"), F.concat(F.lit("c"), "c_custkey", F.lit(".h5")).alias("file"), F.coalesce("timestamp", F.lit("")).alias("timestamp"))
     return E.linked_data(products, orders.select(seal("o_custkey"), F.col("o_orderkey").cast("string").alias("source_id")))
+
+
+@query("""SELECT page_id, url, 'page ' || page_id::VARCHAR AS name, sha256(html) AS sha256 FROM pages WHERE strlen(html) > 2000""")
+def external_references(spark: SparkSession, d: str) -> DataFrame:
+    """Large attachments as references with the digest of what they refer to."""
+    return table(spark, d, "pages").where(F.octet_length("html") > 2000).select("page_id", "url", F.concat(F.lit("page "), "page_id").alias("name"), F.sha2("html", 256).alias("sha256"))
+
+
+@query("""SELECT vec_id AS instance, embedding[1]::DOUBLE AS location, [embedding[1], embedding[2], embedding[3]]::DOUBLE[] AS position FROM embeddings""")
+def slice_metadata(spark: SparkSession, d: str) -> DataFrame:
+    """Per-slice records: instance, location, position."""
+    x = F.transform(F.slice("embedding", 1, 3), lambda v: v.cast("double"))
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("instance"), F.get(x, F.lit(0)).alias("location"), x.alias("position"))
+
+
+@query("""SELECT DISTINCT event_type, typeof(json_extract(props, '$.k')) = 'JSON' AS readable FROM events WHERE props IS NOT NULL""")
+def embedded_schemas(spark: SparkSession, d: str) -> DataFrame:
+    """Schemas embedded with the data, one for each kind of product, and whether they can be read."""
+    kinds = table(spark, d, "events").where("props is not null").groupBy("event_type").agg(F.schema_of_variant_agg(F.try_parse_json("props")).alias("schema"))
+    return kinds.select("event_type", F.startswith("schema", F.lit("OBJECT")).alias("readable"))

@@ -223,3 +223,10 @@ def timing_offsets(spark: SparkSession, d: str) -> DataFrame:
 def cross_factor(spark: SparkSession, d: str) -> DataFrame:
     v, e = K.cross_calibrated(F.col("value"), 1.05, 0.02)
     return table(spark, d, "events").select("event_id", F.round(v, 6).alias("value"), F.round(e, 6).alias("error"))
+
+
+@query("SELECT event_id, round(value * 1.0::DOUBLE + 273.15::DOUBLE, 6) AS kelvin, round(value * 0.01::DOUBLE, 6) AS humidity FROM events")
+def ambient_conditions(spark: SparkSession, d: str) -> DataFrame:
+    """Temperature and relative humidity in SI units."""
+    v = F.col("value")
+    return table(spark, d, "events").select("event_id", F.round(K.ambient(v, F.lit("degC"), F.lit(1.0)), 6).alias("kelvin"), F.round(K.ambient(v, F.lit("%"), F.lit(0.01)), 6).alias("humidity"))

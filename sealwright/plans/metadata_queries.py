@@ -197,3 +197,26 @@ def method_counts(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT p_partkey, round(p_retailprice * 0.001, 6) AS si FROM part""")
 def scalar_si(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", F.round(to_si(F.col("p_retailprice"), F.lit(0.001)), 6).alias("si"))
+
+
+@query("""SELECT event_id, '/' AS path, k AS key, json_extract_string(props, '$.' || k) AS value, CASE WHEN json_type(props, '$.' || k) IN ('UBIGINT', 'BIGINT') THEN 'BIGINT' ELSE 'STRING' END AS value_type
+FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events)""")
+def metadata_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Open metadata as typed attribute rows."""
+    return M.attribute_rows(table(spark, d, "events"), ["event_id"], "props")
+
+
+@query("""SELECT p_partkey, 'Bq/mL' AS units, 1000.0::DOUBLE AS unit_si FROM part WHERE p_size >= 10""")
+def dataset_units(spark: SparkSession, d: str) -> DataFrame:
+    """Units on datasets; small ones have none."""
+    attrs = _long(table(spark, d, "part"), "p_partkey", units="case when p_size >= 10 then 'Bq/mL' end", unitSI="'1000.0'", description="p_name")
+    return M.dataset_units(attrs, ["p_partkey"])
+
+
+@query("""SELECT page_id AS id, url AS licence, regexp_full_match(url, 'https?://\\S+|[A-Za-z0-9.+]+(-[A-Za-z0-9.+]+)*') AS ready FROM pages
+UNION ALL SELECT p_partkey, p_brand, regexp_full_match(p_brand, 'https?://\\S+|[A-Za-z0-9.+]+(-[A-Za-z0-9.+]+)*') FROM part""")
+def licence_ready(spark: SparkSession, d: str) -> DataFrame:
+    """Whether licence fields are identifiers or URLs."""
+    a = table(spark, d, "pages").select(F.col("page_id").alias("id"), F.col("url").alias("licence"))
+    b = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("licence"))
+    return a.union(b).withColumn("ready", M.is_licence(F.col("licence")))

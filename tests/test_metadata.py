@@ -54,3 +54,13 @@ def test_unknown_type_is_tolerated(spark):
 @pytest.mark.parametrize("n,dims,want", [(1000, 1, True), (1001, 1, False), (4, 2, False)])
 def test_attribute_limit(spark, n, dims, want):
     assert spark.range(1).select(M.is_attribute(F.lit(n), F.lit(dims))).first()[0] is want
+
+
+def test_attribute_rows_follow_flatten(spark):
+    import json
+
+    trees = [{"a": 1, "b": {"c": "x", "d": {"e": True, "f": None}}}, {}, {"l": [1, 2], "n": None}]
+    df = spark.createDataFrame([(i, json.dumps(t)) for i, t in enumerate(trees)] + [(9, None), (10, "not json")], "id int, doc string")
+    got = sorted((r.id, r.path, r.key, r.value) for r in M.attribute_rows(df, ["id"], "doc").collect())
+    text = lambda v: json.dumps(v).replace(" ", "") if not isinstance(v, str) else v
+    assert got == sorted((i, p, k, text(v)) for i, t in enumerate(trees) for p, k, v in M.flatten(t))
