@@ -262,6 +262,16 @@ def _near(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([near(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)) for x, y in zip(a, b)], dtype=bool)
 
 
+def _joined(rows: DataFrame, summary: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """``rows`` with the row of an aggregate by ``key``, so that hot keys of ``rows`` can be split.
+
+    Spark would join in the aggregate's own partitions, and it splits only joins of two plain shuffles. Under an
+    equal key of another name the aggregate, one row a key, gets a shuffle of its own.
+    """
+    other = summary.withColumn("__key", F.greatest(key, key)).drop(key)
+    return rows.join(other, rows[key] == other["__key"], how).drop("__key")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b) as (node, root), root the least node of each.
 
@@ -269,16 +279,14 @@ def components(edges: DataFrame) -> DataFrame:
     flat after a few rounds, log(n) in general. Each round's edges are written to the shared folder.
     """
 
-    # least neighbours are cut before they are joined: a join of two plain shuffles is one whose hot keys Spark can split
     def large(e: DataFrame) -> DataFrame:
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = cut(both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low")), "low")
-        return both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b").distinct()
+        low = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
+        return _joined(both, low, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b").distinct()
 
     def small(e: DataFrame) -> DataFrame:
-        e = cut(e, "star")
-        low = cut(e.groupBy("a").agg(F.min("b").alias("low")), "low")
-        out = e.join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).union(low.select("a", F.col("low").alias("b")))
+        low = e.groupBy("a").agg(F.min("b").alias("low"))
+        out = _joined(e, low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).union(low.select("a", F.col("low").alias("b")))
         return out.where("a <> b").distinct()
 
     def downward(e: DataFrame) -> DataFrame:
@@ -330,12 +338,12 @@ def _links(entries: DataFrame, seqs: DataFrame) -> DataFrame | None:
     for r in range(LEADER_ROUNDS):
         now = placed()
         lead = now.groupBy("bucket").agg(F.min_by(F.struct("node", "root"), F.xxhash64("node", F.lit(r))).alias("lead"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-        lead = cut(lead.where("lo < hi").select("bucket", F.col("lead.node").alias("a"), F.col("lead.root").alias("lead_root")), "leaders")
-        if not test(now.join(lead, "bucket").where("root <> lead_root").select("a", F.col("node").alias("b"))):
+        lead = lead.where("lo < hi").select("bucket", F.col("lead.node").alias("a"), F.col("lead.root").alias("lead_root"))
+        if not test(_joined(now, lead, "bucket").where("root <> lead_root").select("a", F.col("node").alias("b"))):
             break
     now = placed()
     mixed = now.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
-    left = cut(now.join(mixed, "bucket").select("node", "root").distinct(), "rest")
+    left = cut(_joined(now, mixed, "bucket").select("node", "root").distinct(), "rest")
     if not left.isEmpty():
         test(_rare_pairs(left, seqs))
     return roots
@@ -369,7 +377,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 
     entries = nodes.select("node", "row_hash", F.explode("sketch").alias("bucket"))
     shared = entries.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("bucket")
-    entries = cut(entries.join(cut(shared, "shared"), "bucket"), "buckets")
+    entries = cut(_joined(entries, shared, "bucket"), "buckets")
     roots = None
     if not entries.isEmpty():
         wanted = entries.select("row_hash", F.col("node").alias("want")).distinct()
@@ -381,5 +389,5 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     if roots is not None:
         least = named.join(roots.select("root").distinct(), "root").groupBy("root").agg(F.min("own").alias("least"))
         named = named.join(least, "root", "left").select("node", "root", F.coalesce("least", "own").alias("own"))
-    out = base.select("id", "row_hash", "node").join(cut(named, "named"), "node", "left")
+    out = _joined(base.select("id", "row_hash", "node"), named, "node", "left")
     return out.select(F.col("id").alias(key), "row_hash", "root", F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("own")).alias("class_id"))
