@@ -13,6 +13,8 @@ other than the text are passed through or ignored. Very long texts are cut into
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,8 +46,6 @@ TEMPLATES = (
 
 
 def _words(text: str) -> list[str]:
-    import re
-
     return re.sub(r"[^a-z0-9]+", " ", text.lower()).strip().split(" ")
 
 
@@ -89,6 +89,7 @@ def with_licence(docs: DataFrame, text: str = "text", out: str = "__licence", te
     words = F.transform(units, lambda u: F.split(F.trim(F.regexp_replace(u, "[^a-z0-9]+", " ")), " "))
     sized = F.filter(words, lambda w: F.size(w) > least)
     grams = F.filter(F.transform(sized, bigrams), lambda g: (F.size(g) >= least - 1e-9) & (F.size(g) <= most + 1e-9))
-    found = F.filter(F.transform(grams, score), lambda x: x.isNotNull())
+    found = f"{out}_found"
+    docs = docs.withColumn(found, F.filter(F.transform(grams, score), lambda x: x.isNotNull()))
     best = F.array_min(found)
-    return docs.withColumn(f"{out}_found", found).withColumn(out, F.struct(F.array_min(f"{out}_found")["id"].alias("licence_id"), (-F.array_min(f"{out}_found")["dice"]).alias("dice"), F.coalesce(F.size(f"{out}_found"), F.lit(0)).alias("n_matches"))).drop(f"{out}_found")
+    return docs.withColumn(out, F.struct(best["id"].alias("licence_id"), (-best["dice"]).alias("dice"), F.coalesce(F.size(found), F.lit(0)).alias("n_matches"))).drop(found)

@@ -47,7 +47,7 @@ _odd = np.random.default_rng(20240607).integers(1, 2**63, SKETCHES, dtype=np.uin
 _places = _odd[:PICKS] * np.uint64(0x9E3779B97F4A7C15)
 _mult = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
-NODE = T.StructType([T.StructField("node", T.BinaryType()), T.StructField("n", T.IntegerType()), T.StructField("sketch", T.ArrayType(T.LongType()))])
+NODE = T.StructType([T.StructField("node", T.BinaryType()), T.StructField("sketch", T.ArrayType(T.LongType()))])
 
 
 def words(text: str | None) -> list[str]:
@@ -136,9 +136,9 @@ def _node(texts: pd.Series) -> pd.DataFrame:
     for t in texts:
         w = word_hashes(t)
         if len(w):
-            rows.append((_digest(w), len(w), sketches(w)))
+            rows.append((_digest(w), sketches(w)))
         else:
-            rows.append((None, 0, None))
+            rows.append((None, None))
     return pd.DataFrame(rows, columns=NODE.names)
 
 
