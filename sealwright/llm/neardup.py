@@ -376,7 +376,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     nodes = base.where("node is not null").groupBy("node").agg(F.min("id").alias("own"), F.min("row_hash").alias("row_hash"), F.first("sketch").alias("sketch"))
 
     entries = nodes.select("node", "row_hash", F.explode("sketch").alias("bucket"))
-    shared = entries.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("bucket")
+    shared = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
     entries = cut(_joined(entries, shared, "bucket"), "buckets")
     roots = None
     if not entries.isEmpty():
