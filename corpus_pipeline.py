@@ -1,7 +1,8 @@
 """A corpus pipeline: quality rules, language identification, near-duplicates, mixing, byte-level BPE.
 
 Every stage takes (spark, docs, sf_dir) and works on all that the stage before it kept. All but the last return the
-columns of ``documents``.
+columns of ``documents``. Stages that run Python set the session's Arrow batches to ``ROWS_PER_BATCH`` rows, which
+bounds what a batch of long texts takes, in Python workers and outside the JVM's heap.
 """
 
 from __future__ import annotations
@@ -10,18 +11,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sealwright.llm import bpe, langid, mix, neardup, quality
-from sealwright.llm.common import cut, shared_dir, table
+from sealwright.llm.common import BATCH, cut, shared_dir, table
 from sealwright.llm.queries import _tokenizer, held_out
 
 
+ROWS_PER_BATCH = 2_000
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the learned decision list keep."""
+    spark.conf.set(BATCH, ROWS_PER_BATCH)
     rules = quality.fit(docs, table(spark, sf_dir, "labels"))
     return quality.judge(docs, rules).where("__quality.kept").drop("__quality")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told: a text without letters, or as near to two languages, goes."""
+    spark.conf.set(BATCH, ROWS_PER_BATCH)
     model = langid.train(docs.where(~held_out()))
     said = langid.with_language(docs, model)
     return said.where("__lang.lang <> 'und' and __lang.score > 0").drop("__lang")
@@ -45,6 +51,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of every document of the mix."""
+    spark.conf.set(BATCH, ROWS_PER_BATCH)
     return bpe.with_digests(docs.select("doc_id", "lang", "source", "text"), *_tokenizer()).select("doc_id", "lang", "source", "__bpe.*")
 
 
