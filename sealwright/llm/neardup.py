@@ -6,7 +6,13 @@ often the same one came before in the text. Each of ``SKETCHES`` sketches takes
 least under its own hash and keeps them in text order, so texts share a sketch when they share k-mers in the same
 order: that follows edit similarity, not just overlap. Texts that share a sketch are candidates. A candidate pair is
 linked if the edit distance d of the two k-mer sequences, found by an alignment in a band of diagonals, gives
-1 - d / max(length) >= ``SIMILARITY``. Pairs of a Jaccard similarity of 0.8 in the same order are always linked.
+1 - d / max(length) >= ``SIMILARITY``, as it does for a Jaccard similarity of 0.8 in the same order.
+
+Sketches of few k-mers are all or nothing, so texts of up to ``SHORT`` k-mers are found exactly: n of them have
+floor(0.2 n) + 1 entries, their labelled k-mers that are least by hash. Linked sequences differ in at most
+floor(0.2 max(length)) labelled k-mers, so they share one of these. Texts that may be linked to one of more than
+``SHORT`` k-mers (0.8 ``SHORT`` and more) have sketches as well.
+
 Classes are the connected components of links, named by their smallest doc_id.
 
 No group is expanded into all pairs. Texts with the same words are one node. In each sketch bucket all nodes are
@@ -38,7 +44,8 @@ from .common import cut, release
 
 K = 5
 SKETCHES = 40
-PICKS = 6
+PICKS = 5
+SHORT = 40
 SIMILARITY = 0.8
 LEADER_ROUNDS = 2
 
@@ -110,9 +117,19 @@ def kmers(w: np.ndarray) -> np.ndarray:
     return labelled(plain_kmers(w))
 
 
+def _most_edits(n: int, similarity: float) -> int:
+    """The most edits between linked sequences of which the longer has n elements."""
+    return int(np.floor((1 - similarity) * n + 1e-9))
+
+
 def sketches(w: np.ndarray) -> np.ndarray:
-    """One value for each sketch: its least k-mers, in text order."""
+    """One value for each sketch: its least k-mers, in text order; of a short text the exact entries (see above)."""
     h = kmers(w)
+    exact = np.empty(0, np.int64)
+    if len(h) <= SHORT:
+        exact = _mix(np.sort(h)[: _most_edits(len(h), SIMILARITY) + 1] + np.uint64(0x94D049BB133111EB)).view(np.int64)
+    if len(h) + _most_edits(SHORT + 1, SIMILARITY) <= SHORT:
+        return exact
     take = min(PICKS, len(h))
     if len(h) > take:
         # a key's low bits hold its place in the text, so that one partial sort finds the least keys and their places
@@ -123,7 +140,8 @@ def sketches(w: np.ndarray) -> np.ndarray:
     else:
         at = np.broadcast_to(np.arange(len(h)), (SKETCHES, len(h)))
     mixed = (h[at] * _places[:take]).sum(axis=1, dtype=np.uint64)
-    return _mix(mixed + np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)
+    made = _mix(mixed + np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)
+    return np.concatenate([made, exact])
 
 
 def _digest(w: np.ndarray) -> bytes:
@@ -224,7 +242,7 @@ def _anchored(a: np.ndarray, b: np.ndarray) -> int:
 def near(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
     """Whether 1 - d / max(len) >= similarity for the edit distance d of two sequences."""
     longest = max(len(a), len(b))
-    most = int(np.floor((1 - similarity) * longest + 1e-9))
+    most = _most_edits(longest, similarity)
     if abs(len(a) - len(b)) > most:
         return False
     short = min(len(a), len(b))

@@ -159,3 +159,24 @@ def test_shared_passages_are_not_compared(spark):
     assert all(got[i] == i for i in range(150)) and {got[1000 + i] for i in range(150)} == {1000}
     nodes = spark.createDataFrame([(neardup._digest(w), neardup._digest(w), neardup.sequence(w).tobytes()) for w in (neardup.word_hashes(t) for _, t in rows[:150])], "node binary, root binary, seq binary")
     assert neardup._rare_pairs(nodes.select("node", "root"), nodes.select("node", "seq")).count() == 0
+
+
+def test_short_pairs_at_the_limit():
+    """Pairs of 5 to 50 k-mers with as many edits as a link allows share an entry: always up to ``SHORT`` k-mers."""
+    r = random.Random(12)
+    for n in range(5, 51):
+        d, missed = n // 5, 0
+        for t in range(40):
+            a = [f"w{r.randrange(10**6)}" for _ in range(n + 4)]
+            new = [f"e{r.randrange(10**6)}" for _ in range(d)]
+            b = [a[:-d] + new, new + a[d:], a[:-d], a[d:]][t % 4]
+            x, y = neardup.word_hashes(" ".join(a)), neardup.word_hashes(" ".join(b))
+            assert neardup.near(neardup.sequence(x), neardup.sequence(y))
+            missed += not set(neardup.sketches(x).tolist()) & set(neardup.sketches(y).tolist())
+        assert missed == 0 if n <= neardup.SHORT else missed <= 2, (n, missed)
+
+
+def test_short_copies(spark):
+    a, b, c = ([f"{g}{k}" for k in range(10)] for g in "abc")
+    rows = [(0, " ".join(a)), (1, " ".join(a[:9])), (2, " ".join(b[:9])), (3, " ".join(b[:8])), (4, " ".join(c)), (5, " ".join(c[:9] + ["x"]))]
+    assert {x.doc_id: x.class_id for x in classes(spark, rows)} == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4, 5: 4}
