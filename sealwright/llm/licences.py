@@ -1,6 +1,6 @@
 """Licence scans, with DataFrame functions only.
 
-Units of a text are its lines, its paragraphs (parted by an empty line) and the whole text. A unit is normalised
+Units of a text are its lines, its paragraphs (parted by an empty line, which may hold blanks, tabs and carriage returns) and the whole text. A unit is normalised
 (lower-cased, every run of characters other than ASCII letters and digits one blank) and compared with licence templates by the
 Dice coefficient of the sets of word bigrams: 2 |A and B| / (|A| + |B|). Size bounds prune: a coefficient of t needs
 |A| between t / (2 - t) and (2 - t) / t times |B|, so a unit outside all templates' bounds is not compared at all, and
@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 THRESHOLD = 0.8
+EMPTY_LINE = r"\n[ \t\r]*\n"
 
 #: Public notices and opening paragraphs of common licences, by SPDX identifier.
 TEMPLATES = (
@@ -83,7 +84,7 @@ def with_licence(docs: DataFrame, text: str = "text", out: str = "__licence", te
     # a unit of fewer words cannot match, nor can one whose words are too many even if bigrams repeat no more than allowed
     lower = F.lower(F.col(text))
     lines = F.split(lower, "\n")
-    paragraphs = F.when(F.contains(F.col(text), F.lit("\n\n")), F.split(lower, r"\n[ \t\r]*\n")).otherwise(F.array().cast("array<string>"))
+    paragraphs = F.when(F.col(text).rlike(EMPTY_LINE), F.split(lower, EMPTY_LINE)).otherwise(F.array().cast("array<string>"))
     whole = F.when(F.contains(F.col(text), F.lit("\n")), F.array(lower)).otherwise(F.array().cast("array<string>"))
     units = F.concat(lines, paragraphs, whole)
     words = F.transform(units, lambda u: F.split(F.trim(F.regexp_replace(u, "[^a-z0-9]+", " ")), " "))

@@ -43,3 +43,15 @@ def test_query(spark):
 def test_native_plan(spark):
     plan = queries.op9_licence_scan(spark, oracle.SMALL)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Exchange" not in plan
+
+
+def test_empty_lines_of_every_kind(spark):
+    """A notice wrapped over lines between paragraphs is found however the empty lines around it are written."""
+    mit = licences.TEMPLATES[5][1].split(" ")
+    wrapped = [" ".join(mit[i : i + 8]) for i in range(0, len(mit), 8)]
+    other = " ".join(f"word{i}" for i in range(300))
+    texts = []
+    for end, empty in (("\n", ""), ("\r\n", ""), ("\n", "  "), ("\n", "\t"), ("\r\n", " \t")):
+        gap = f"{end}{empty}{end}"
+        texts.append(other + gap + end.join(wrapped) + gap + other)
+    assert scan(spark, texts) == [("MIT", 1.0, 1)] * len(texts)
