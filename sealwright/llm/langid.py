@@ -4,9 +4,15 @@ For each language a suffix automaton of labelled text is built. A text is cut in
 from its place that occurs in the language's training text (a character that never occurs there is a phrase of its
 own). The language with the fewest phrases for each letter wins; ties go to the smaller name.
 
-Texts are compared lower-cased, every run of other characters than letters as one blank. Whole texts are parsed. For
-parallel work a text is parsed in blocks of ``BLOCK`` characters, so a phrase ends at a block's end at the latest; the
-extra phrases are as many for each language. All texts of a batch are parsed side by side by table look-ups.
+Texts are compared lower-cased, every run of other characters than letters as one blank. Whole texts are parsed, and
+phrases are those of the whole text. For parallel work a text is laid out in blocks of ``BLOCK`` characters, which are
+all parsed side by side as if a phrase began with each block. A block whose predecessor ends inside a phrase is then
+parsed again from that state, until the new parse begins a phrase where the old one did (they agree from there on); a
+block that ends in another state than before sends its successor through once more.
+
+Every character of a language's training text has its transitions, whatever the script. Automata are kept as
+displaced rows: a state is the offset of its row in two arrays that all rows share, so a language takes about 20 bytes
+for each character of its training text (400 languages of 60,000 characters: some 500 MB a worker).
 
 A text that is null or has no letter is ``und`` with score 0. The score is 1 minus the ratio of the winner's phrases
 to the second's (1 for one language only): 0 for a tie, near 1 for a sure case. Repeated rows get equal results; an
@@ -29,8 +35,8 @@ from pyspark.sql import types as T
 from .common import per_doc_batches
 
 BLOCK = 512
-#: Characters with a transition of their own, the blank included; all rarer ones count as never seen.
-ALPHABET = 96
+#: Between pieces of training text: no character of any text.
+GAP = 0x110000
 
 GUESS = T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("letters", T.LongType())])
 
@@ -55,11 +61,8 @@ def codes(text: str) -> np.ndarray:
     return c[keep]
 
 
-def automaton(seq: np.ndarray, width: int) -> np.ndarray:
-    """The suffix automaton of ``seq`` (codes from 1 to width - 1) as a table: state * width + code to state * width.
-
-    0 stands for no transition; the root's row is the second, so that no real state is 0.
-    """
+def automaton(seq: np.ndarray) -> list[dict[int, int]]:
+    """The transitions of each state of the suffix automaton of ``seq``; state 0 is the root."""
     link, length, goes = [-1], [0], [{}]
     last = 0
     for c in seq.tolist():
@@ -85,18 +88,86 @@ def automaton(seq: np.ndarray, width: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
-    table = np.zeros((len(length) + 1) * width, np.int32)
-    for s, g in enumerate(goes, 1):
-        if g:
-            table[s * width + np.fromiter(g, np.int64, len(g))] = (np.fromiter(g.values(), np.int64, len(g)) + 1) * width
-    return table
+    return goes
+
+
+class Rows:
+    """Transitions (of codes from 1) as displaced rows: state s goes by code c to ``to[s + c]`` if ``owner[s + c] == s``.
+
+    A state is named by the offset of its row; no two rows have the same offset, and no slot belongs to two rows.
+    """
+
+    def __init__(self, goes: list[dict[int, int]]):
+        fan = np.fromiter(map(len, goes), np.int64, len(goes))
+        most = max((max(g) for g in goes if g), default=1)
+        base = np.zeros(len(goes), np.int64)
+        size = int(fan.sum()) + len(goes) // 8 + 64
+        used, taken = np.zeros(size + 2 * most + 2, bool), np.zeros(size + 2 * most + 2, bool)
+
+        def room(n: int) -> None:
+            nonlocal used, taken
+            if n > len(used):
+                more = np.zeros(max(n, len(used) * 5 // 4) - len(used), bool)
+                used, taken = np.concatenate([used, more]), np.concatenate([taken, more])
+
+        # rows of several transitions: the first offset at which all their slots are free, the widest rows first
+        low, before = 1, 0
+        for s in np.argsort(-fan, kind="stable").tolist():
+            if fan[s] < 2:
+                break
+            if fan[s] != before:
+                low, before = 1, int(fan[s])
+            codes_ = list(goes[s])
+            window = 256
+            while True:
+                room(low + window + most + 1)
+                full = taken[low : low + window].copy()
+                for c in codes_:
+                    full |= used[low + c : low + c + window]
+                at = int(full.argmin())
+                if not full[at]:
+                    break
+                low += window
+                window *= 2
+            low += at
+            base[s] = low
+            taken[low] = True
+            used[[low + c for c in codes_]] = True
+        # rows of one transition fill the gaps, those of one character together
+        single = np.flatnonzero(fan == 1)
+        by = np.fromiter((next(iter(goes[s])) for s in single), np.int64, len(single))
+        single = single[np.argsort(by, kind="stable")]
+        kinds, n = np.unique(by, return_counts=True)
+        ends = np.cumsum(n)
+        for k in np.argsort(-n, kind="stable"):
+            own, c = single[ends[k] - n[k] : ends[k]], int(kinds[k])
+            while len(own):
+                at = np.flatnonzero(~used[c + 1 :]) + 1
+                at = at[~taken[at]][: len(own)]
+                base[own[: len(at)]] = at
+                taken[at] = used[at + c] = True
+                own = own[len(at) :]
+                if len(own):
+                    room(len(used) + len(own))
+        none = np.flatnonzero(fan == 0)
+        room(len(taken) + len(none))
+        at = np.flatnonzero(~taken[1:])[: len(none)] + 1
+        base[none] = at
+        taken[at] = True
+        end = int(max(np.flatnonzero(taken)[-1], np.flatnonzero(used)[-1] if used.any() else 0)) + most + 1
+        self.owner, self.to = np.zeros(end, np.int32), np.zeros(end, np.int32)
+        start = np.repeat(base, fan)
+        slot = start + np.fromiter((c for g in goes for c in g), np.int64, len(start))
+        self.owner[slot] = start
+        self.to[slot] = base[np.fromiter((t for g in goes for t in g.values()), np.int64, len(start))]
+        self.root = int(base[0])
 
 
 @dataclass(frozen=True)
 class Model:
-    """Training text of each language (bounded, see :func:`train`), by name."""
+    """Pieces of training text of each language (bounded, see :func:`train`), by name."""
 
-    texts: tuple[tuple[str, str], ...]
+    texts: tuple[tuple[str, tuple[str, ...]], ...]
 
     @property
     def key(self) -> str:
@@ -106,88 +177,137 @@ class Model:
 _built: dict[str, tuple] = {}
 
 
-def built(model: Model) -> tuple[list[str], np.ndarray, list[np.ndarray], int]:
-    """Names, code of each code point, tables, width; built once for each worker process."""
+def table(pieces: tuple[str, ...]) -> tuple[np.ndarray, Rows]:
+    """The code points that the pieces hold, sorted (the code of one is its place, from 1), and the automaton's rows."""
+    parts = []
+    for t in pieces:
+        parts += [codes(t), np.array([GAP], np.uint32)]
+    seq = np.concatenate(parts[:-1])
+    seen = np.unique(seq)
+    return seen, Rows(automaton(np.searchsorted(seen, seq) + 1))
+
+
+def built(model: Model) -> tuple[list[str], np.ndarray, list[tuple[np.ndarray, Rows]]]:
+    """Names, the number of each code point, and for each language the code of each number and the rows.
+
+    Built once for each worker process.
+    """
     if model.key not in _built:
         _built.clear()
-        seqs = [codes(t) for _, t in model.texts]
-        seen, n = np.unique(np.concatenate([*seqs, np.array([32], np.uint32)]), return_counts=True)
-        top = seen[np.lexsort((seen, -n))][:ALPHABET]
-        width = len(top) + 1
-        code = np.zeros(0x110000, np.uint8)
-        code[top] = np.arange(1, width)
-        tables = []
-        for s in seqs:
-            t = automaton(code[s], width)
-            t.reshape(-1, width)[:, 0] = 0  # code 0, a character never seen, leads nowhere
-            tables.append(t)
-        _built[model.key] = ([k for k, _ in model.texts], code, tables, width)
+        tables = [table(t) for _, t in model.texts]
+        points = np.unique(np.concatenate([seen for seen, _ in tables]))
+        points = points[points < GAP]
+        number = np.zeros(0x110000, np.int32)  # 0: in no language's training text
+        number[points] = np.arange(1, len(points) + 1)
+        own = []
+        for seen, rows in tables:
+            code = np.zeros(len(points) + 1, np.int32)  # 0, no transition, for characters of other languages
+            code[np.searchsorted(points, seen[seen < GAP]) + 1] = np.arange(1, (seen < GAP).sum() + 1)
+            own.append((code, rows))
+        _built[model.key] = ([k for k, _ in model.texts], number, own)
     return _built[model.key]
 
 
-def phrases(seqs: list[np.ndarray], table: np.ndarray, width: int) -> np.ndarray:
-    """How many phrases each code sequence takes, parsed side by side in blocks."""
-    return _parse(*_lanes(seqs), [table], width, len(seqs))[0]
-
-
-def _lanes(seqs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """All blocks, longest first: the joined codes, each block's start, length and text."""
-    size = np.array([len(s) for s in seqs], np.int64)
-    blocks = (size + BLOCK - 1) // BLOCK
-    owner = np.repeat(np.arange(len(seqs)), blocks)
-    within = np.arange(len(owner)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-    start = (np.cumsum(size) - size)[owner] + within * BLOCK
-    length = np.minimum(BLOCK, size[owner] - within * BLOCK)
-    order = np.argsort(-length, kind="stable")
-    return np.concatenate(seqs) if seqs else np.empty(0, np.uint8), start[order], length[order], owner[order]
-
-
-def _parse(flat, start, length, owner, tables, width, n) -> list[np.ndarray]:
-    if not len(start):
-        return [np.zeros(n, np.int64) for _ in tables]
-    live = np.searchsorted(-length, -np.arange(length[0]), side="left")  # blocks longer than each step
-    counts = [np.ones(len(start), np.int64) for _ in tables]  # the first phrase of each block
-    states = [np.full(len(start), width, np.int32) for _ in tables]
-    for step in range(int(length[0])):
-        m = live[step]
-        c = flat[start[:m] + step].astype(np.int32)
-        for table, count, state in zip(tables, counts, states):
-            s = state[:m]
-            to = table.take(s + c)
-            dead = np.flatnonzero(to == 0)
-            if len(dead):
-                cd = c[dead]
-                first = table.take(width + cd)
-                ended = s[dead] != width  # a phrase was under way: it ends before this character
-                count[dead] += ended
-                lone = first == 0  # never seen: a phrase of its own, and the next begins after it
-                if lone.any():
-                    if step + 1 < BLOCK:
-                        at = dead[lone]
-                        count[at] += length[at] > step + 1
-                    first[lone] = width
-                to[dead] = first
-            state[:m] = to
-    return [np.bincount(owner, count, n).astype(np.int64) for count in counts]
-
-
-def guess(model: Model, texts: list[str | None]) -> list[tuple[str, float, int]]:
+class Lanes:
+    """Blocks of texts side by side, the longest first: a column each, a row for each character of a block."""
+
+    def __init__(self, seqs: list[np.ndarray], block: int):
+        size = np.array([len(s) for s in seqs], np.int64)
+        blocks = (size + block - 1) // block
+        owner = np.repeat(np.arange(len(seqs)), blocks)
+        within = np.arange(len(owner)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+        length = np.minimum(block, size[owner] - within * block)
+        order = np.argsort(-length, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        after = np.append(np.where(owner[1:] == owner[:-1], place[1:], -1), -1) if len(owner) else place
+        self.texts, self.owner, self.length, self.after = len(seqs), owner[order], length[order], after[order]
+        self.steps = int(length.max(initial=0))
+        flat = np.concatenate([*seqs, np.empty(0, np.int32)])
+        start = ((np.cumsum(size) - size)[owner] + within * block)[order]
+        self.at = np.empty((self.steps, len(owner)), np.int32)
+        for i in range(self.steps):
+            self.at[i] = flat.take(start + i, mode="clip")
+        # blocks longer than each step
+        self.live = np.searchsorted(-self.length, -np.arange(self.steps), side="left")
+
+
+def phrases(lanes: Lanes, code: np.ndarray, rows: Rows) -> np.ndarray:
+    """How many phrases each whole text takes."""
+    n = len(lanes.owner)
+    if not n:
+        return np.zeros(lanes.texts, np.int64)
+    at, owner, to, root = code.take(lanes.at), rows.owner, rows.to, rows.root
+    state = np.full(n, root, np.int32)
+    begins = np.zeros((lanes.steps + 1, n), bool)  # where phrases begin
+    begins[0] = True
+
+    def restart(c: np.ndarray) -> np.ndarray:
+        i = c + root
+        return np.where(owner.take(i) == root, to.take(i), root)  # the root again: a character never seen
+
+    for step in range(lanes.steps):
+        m = lanes.live[step]
+        c, s = at[step, :m], state[:m]
+        i = s + c
+        nxt = to.take(i)
+        broken = np.flatnonzero(owner.take(i) != s)
+        if len(broken):
+            begins[step, broken] = True
+            nxt[broken] = first = restart(c.take(broken))
+            begins[step + 1, broken[first == root]] = True
+        state[:m] = nxt
+
+    entered = np.full(n, root, np.int32)  # the state in which each block was entered
+    before = np.flatnonzero(lanes.after >= 0)
+    while True:
+        before = before[state[before] != entered[lanes.after[before]]]
+        if not len(before):
+            break
+        cur, s = lanes.after[before], state[before]
+        entered[cur] = s
+        changed = []
+        for step in range(lanes.steps + 1):
+            done = lanes.length[cur] <= step
+            if done.any():
+                state[cur[done]] = s[done]
+                changed.append(cur[done])
+                cur, s = cur[~done], s[~done]
+            if not len(cur):
+                break
+            c = at[step, cur]
+            i = s + c
+            nxt = to.take(i)
+            broken = owner.take(i) != s
+            new = broken | (s == root)
+            nxt[broken] = restart(c[broken])
+            agreed = new & begins[step, cur]
+            begins[step, cur] = new
+            cur, s = cur[~agreed], nxt[~agreed]
+        changed = np.concatenate([*changed, np.empty(0, np.int64)])
+        before = changed[lanes.after[changed] >= 0]
+    begins[lanes.length, np.arange(n)] = False
+    return np.bincount(lanes.owner, begins.sum(axis=0), lanes.texts).astype(np.int64)
+
+
+def guess(model: Model, texts: list[str | None], block: int = BLOCK) -> list[tuple[str, float, int]]:
     """The language, score and letter count of each text."""
-    if not model.texts:
-        return [("und", 0.0, 0)] * len(texts)
-    names, code, tables, width = built(model)
     seqs, letters = [], []
     for t in texts:
         c = codes(t) if t else np.empty(0, np.uint32)
         letters.append(int(_kinds()[0][c].sum()))
-        seqs.append(code[c])
-    counts = np.array(_parse(*_lanes(seqs), tables, width, len(seqs)))
+        seqs.append(c)
+    if not model.texts:
+        return [("und", 0.0, n) for n in letters]
+    names, number, tables = built(model)
+    lanes = Lanes([number[c] for c in seqs], block)
+    counts = np.array([phrases(lanes, code, rows) for code, rows in tables])
     out = []
     for i, n in enumerate(letters):
         if not n:
             out.append(("und", 0.0, 0))
             continue
-        order = sorted(range(len(names)), key=lambda k: (counts[k, i], names[k]))
+        order = np.argsort(counts[:, i], kind="stable")[:2]  # names are sorted
         score = 1.0 if len(order) == 1 else 1.0 - counts[order[0], i] / counts[order[1], i]
         out.append((names[order[0]], float(score), n))
     return out
@@ -199,31 +319,40 @@ def with_language(docs: DataFrame, model: Model, text: str = "text", out: str =
 
     def run(col: pd.Series) -> pd.DataFrame:
         texts, rows = col.tolist(), []
-        for a, b in per_doc_batches(texts):
+        for a, b in per_doc_batches(texts, 2_000_000):
             rows += guess(shared.value, texts[a:b])
         return pd.DataFrame(rows, columns=GUESS.names)
 
     return docs.withColumn(out, F.pandas_udf(run, GUESS).asNondeterministic()(F.col(text)))
 
 
-def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", chars_per_lang: int = 40_000, docs_per_lang: int = 200, chars_per_doc: int = 2_000, most_languages: int = 400) -> Model:
-    """A model from a bounded sample of labelled rows.
+def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", chars_per_lang: int = 60_000, docs_per_lang: int = 200, chars_in_all: int = 24_000_000) -> Model:
+    """A model from a bounded sample of labelled rows; every label is learned.
 
-    For each language the documents with the smallest key hashes are taken, ``docs_per_lang`` or a few more, up to
-    ``chars_per_doc`` characters of each and ``chars_per_lang`` in all. Rows are counted first (no text is read for
-    that), so that the sample is drawn by a hash threshold without sorting a language's rows in one place. Of more than
-    ``most_languages`` labels the most frequent are learned.
+    For each language ``docs_per_lang`` documents or up to twice as many are drawn by a hash of the key; each teaches a
+    piece at a hash-chosen place of its whole text, so long that ``docs_per_lang`` of them (or all, if there are fewer)
+    give ``chars_per_lang`` characters. Of very many labels each gets an equal share of ``chars_in_all``. Rows are
+    counted first (no text is read for that), so that the sample is drawn by a hash threshold without sorting a
+    language's rows in one place. The driver receives one row for each label and the sample.
     """
-    counts = docs.where(F.col(lang).isNotNull()).groupBy(F.col(lang).alias("l")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "l").limit(most_languages)
-    rows = docs.select(F.xxhash64(F.col(key).cast("string"), F.lit("sample")).alias("h"), F.col(text).alias("t"), F.col(lang).alias("l"))
+    counts = docs.where(F.col(lang).isNotNull()).groupBy(F.col(lang).alias("l")).agg(F.count(F.lit(1)).alias("n")).collect()
+    if not counts:
+        return Model(())
+    own = max(1, min(chars_per_lang, chars_in_all // len(counts)))
     most = 2.0**64
-    # at most ``most_languages`` rows
-    share = docs.sparkSession.createDataFrame([(r.l, min(1.0, 2.0 * docs_per_lang / r.n) * most - most / 2) for r in counts.collect()], "l string, below double")
+    share = docs.sparkSession.createDataFrame([(r.l, min(1.0, 2.0 * docs_per_lang / r.n) * most - most / 2, -(-own // min(r.n, docs_per_lang))) for r in counts], "l string, below double, piece int")
+    rows = docs.select(F.xxhash64(F.col(key).cast("string"), F.lit("sample")).alias("h"), F.xxhash64(F.col(key).cast("string"), F.lit("place")).alias("p"), F.col(text).alias("t"), F.col(lang).alias("l"))
+    # one row for each label
     drawn = rows.where("l is not null and length(t) > 0").join(F.broadcast(share), "l").where(F.col("h") < F.col("below"))
-    got = drawn.select("l", "h", F.substring("t", 1, chars_per_doc).alias("t")).toPandas().sort_values(["l", "h", "t"])
+    place = F.pmod(F.col("p"), F.greatest(F.length("t") - F.col("piece"), F.lit(0)) + 1).cast("int") + 1
+    got = drawn.select("l", "h", F.substring(F.col("t"), place, F.col("piece")).alias("t")).toPandas().sort_values(["l", "h", "t"])
     texts = []
-    for name, own in got.groupby("l", sort=True):
-        joined = "\n".join(own["t"].drop_duplicates())[:chars_per_lang]
-        if len(codes(joined)):
-            texts.append((name, joined))
+    for name, group in got.groupby("l", sort=True):
+        pieces, left = [], own
+        for t in group["t"].drop_duplicates():
+            if left > 0 and len(codes(t)):
+                pieces.append(t[:left])
+                left -= len(t)
+        if pieces and any(len(codes(t)) for t in pieces):
+            texts.append((name, tuple(pieces)))
     return Model(tuple(texts))
