@@ -2,7 +2,9 @@
 
 Each match of the split pattern is encoded separately, without special tokens. Long texts are first cut before a
 blank that stands between two non-blank characters: there the pattern always ends one match and begins the next, so
-the ids are those of the whole text. Null and empty texts give no ids. Rows are encoded one by one, so repeated rows
+the ids are those of the whole text. A run of white space of ``RUN`` characters or more, which would overflow the stack
+of the pattern's matcher, is cut out by the pattern's own rule (``\\s+(?!\\S)``): all but its last character is one match,
+at the end of a text the whole run is. Null and empty texts give no ids. Rows are encoded one by one, so repeated rows
 give equal results; other columns are ignored or passed through whatever their names.
 """
 
@@ -20,7 +22,11 @@ from pyspark.sql import types as T
 
 #: Characters after which a long text is cut at the next safe boundary.
 PIECE = 50_000
+#: White space in a row that is matched here, not by the pattern.
+RUN = 10_000
 _safe = re.compile(r"(?<=\S) (?=\S)")
+#: The characters of Unicode property White_Space.
+_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 CODES = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
 
@@ -33,11 +39,28 @@ def read_ranks(path: str) -> bytes:
 
 @lru_cache(maxsize=2)
 def encoder(ranks: bytes, pattern: str):
-    """One encoder for each worker process."""
+    """One encoder for each worker process and pattern."""
     import tiktoken
 
-    table = {base64.b64decode(a): int(b) for a, b in (x.split() for x in ranks.splitlines() if x)}
-    return tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=table, special_tokens={})
+    return tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=_table(ranks), special_tokens={})
+
+
+@lru_cache(maxsize=1)
+def _table(ranks: bytes) -> dict[bytes, int]:
+    return {base64.b64decode(a): int(b) for a, b in (x.split() for x in ranks.splitlines() if x)}
+
+
+@lru_cache(maxsize=1)
+def _whole(enc):
+    """An encoder of the same ranks that takes a whole text as one match."""
+    import tiktoken
+
+    return tiktoken.Encoding("whole", pat_str=r"(?s).+", mergeable_ranks=enc._mergeable_ranks, special_tokens={})
+
+
+@lru_cache(maxsize=4)
+def _runs(least: int) -> re.Pattern:
+    return re.compile(f"[{_SPACE}]{{{least},}}")
 
 
 def pieces(text: str, size: int = PIECE):
@@ -52,14 +75,31 @@ def pieces(text: str, size: int = PIECE):
     yield text[start:]
 
 
-def encode(enc, text: str | None) -> list[int]:
+def parts(text: str, run: int = RUN):
+    """(part, whether it is one match): long runs of white space, and what lies between them."""
+    start = 0
+    for m in _runs(max(run, 2)).finditer(text):
+        end = m.end() if m.end() == len(text) else m.end() - 1
+        if m.start() > start:
+            yield text[start : m.start()], False
+        yield text[m.start() : end], True
+        start = end
+    if start < len(text):
+        yield text[start:], False
+
+
+def encode(enc, text: str | None, size: int = PIECE, run: int = RUN) -> list[int]:
     if not text:
         return []
-    if len(text) <= PIECE:
+    if len(text) <= size:
         return enc.encode_ordinary(text)
     out: list[int] = []
-    for x in pieces(text):
-        out += enc.encode_ordinary(x)
+    for part, one in parts(text, run):
+        if one:
+            out += _whole(enc).encode_ordinary(part)
+        else:
+            for x in pieces(part, size):
+                out += enc.encode_ordinary(x)
     return out
 
 

@@ -33,6 +33,23 @@ def test_long_texts(enc):
         assert ids == enc.encode_ordinary(text) and bpe.decode(enc, ids) == text.encode()
 
 
+def test_runs_of_white_space_do_not_change_ids(enc):
+    r = random.Random(6)
+    parts = ["w", " ", "  ", "\n", "\r\n", "\t", "'s", "1", "é", "!", "\x1c", "\x85", "\u00a0", "\u2003", "\u200b", " \n \t"]
+    for _ in range(600):
+        text = "".join(r.choice(parts) * r.choice((1, 1, 3, 9)) for _ in range(r.randrange(40)))
+        assert bpe.encode(enc, text, 1, r.randrange(2, 8)) == enc.encode_ordinary(text)
+
+
+def test_very_long_white_space(enc):
+    for u in (" ", "\n", "\r\n", " \n\t", "\u00a0"):
+        for text in (u * 5_000_000, f"ab{u * 2_500_000}cd  e" + u * 1_200_000):
+            ids = bpe.encode(enc, text)
+            assert bpe.decode(enc, ids) == text.encode()
+    short, long = (bpe.encode(enc, "ab" + " " * n + "cd") for n in (50_000, 2_000_000))
+    assert len(long) - len(short) == len(enc.encode_ordinary(" " * 50_000)) * 39
+
+
 def test_odd_rows(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "hello  <|endoftext|>"), (3, "hello  <|endoftext|>"), (None, "x")], "doc_id long, text string").withColumn("n_tokens", F.lit("clash")).withColumn("ids", F.lit(1))
     got = bpe.with_digests(df, PATH, PATTERN).collect()
