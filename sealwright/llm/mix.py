@@ -1,12 +1,16 @@
 """Mixing sources to target weights, with DataFrame functions only.
 
 The words of each source, its documents in an order given by a hash of their ids, are packed into blocks of
-``BLOCK`` words (the last one shorter). The mix has a fixed number of slots, dealt into output shards. A bijection of
-slot numbers gives each shard a multinomial draw of source counts, conditioned on every source's total being its
-target: slots of a permuted range belong to one source, so a source gets exactly its share and a shard a random one.
-A source's nth slot reads the block to which a pseudorandom permutation of the source's block indexes maps n; after
-all blocks have been read once a second pass begins. Blocks and slots are joined by (source, block index), which
-spreads a hot source evenly. A document's taken words are those of its parts in the blocks that slots read.
+``BLOCK`` words (the last one shorter). The mix has a fixed number of slots, dealt into output shards of ``SHARD_SLOTS``.
+Each source owns a range of numbers as long as its target asks, and a pseudorandom permutation deals these numbers to
+the places of all shards. So a shard's source counts are a multinomial draw under the condition that every source's
+total over all shards is its target: they spread from shard to shard as drawn counts do, while no source misses its
+target. A source's nth slot reads the block to which the source's own permutation of block indexes maps n; after all
+blocks have been read once a second pass, with another permutation, begins. Blocks and slots are joined by (source,
+block index), which spreads a hot source evenly. A document's taken words are those of its parts in the blocks that
+slots read; with them come the number of these slots and the first shard among theirs.
+
+Permutations are swap-or-not shuffles of ``ROUNDS`` keyed rounds: bijections of 0 .. n - 1 for every n.
 
 Prefix sums over a source are made in two steps: its documents are hashed into buckets of about ``ROWS`` rows, summed
 inside each bucket, and bucket totals are summed over the source (one row for ``ROWS`` documents). No source is
@@ -29,8 +33,11 @@ from .common import WORD, cut
 BLOCK, ROWS, SHARD_SLOTS = 64, 2_000, 256
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, MOST = 1.5, 2.0
-#: Primes of which the first that does not divide a range's length permutes it.
-PRIMES = (1_299_709, 1_299_721, 1_299_743, 1_299_763, 1_299_791, 1_299_811, 1_299_817)
+ROUNDS = 16
+#: The modulus of the round functions, a prime.
+PRIME = 2**31 - 1
+#: Slots opened up from one row, and such rows of one task.
+RUN, TASK_RUNS = 4096, 32
 #: Sources whose table may be broadcast; beyond, a salted join takes its place.
 FEW_SOURCES = 50_000
 
@@ -84,21 +91,25 @@ def pack(known: DataFrame) -> DataFrame:
     return rows.join(totals, ["no", "bucket"]).select("id", "no", "size", "source_size", "target", (F.col("base") + F.col("inside")).alias("start"))
 
 
-def _mix_bits(x: Column, seed: int) -> Column:
-    """A pseudorandom whole number of 0 to 2**20 - 1 from a number, alike in any SQL engine."""
-    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), x.cast("string"))), 1, 5), 16, 10).cast("long")
+def round_keys(seed: Column, n: Column) -> Column:
+    """The keys of the rounds of a permutation of 0 .. n - 1, an array of (k, a, b), from the digest of seed and round."""
+    digest = lambda r: F.md5(F.concat_ws(":", seed.cast("string"), r.cast("string")))
+    part = lambda d, at, k: F.conv(F.substring(d, at, k), 16, 10).cast("long")
+    keys = F.transform(F.sequence(F.lit(1), F.lit(ROUNDS)), digest)
+    return F.transform(keys, lambda d: F.struct((part(d, 1, 12) % n).alias("k"), (part(d, 13, 7) + 1).alias("a"), part(d, 20, 7).alias("b")))
 
 
-def permuted(i: Column, n: Column, seed: Column | int = 0) -> Column:
-    """A bijection of 0 .. n - 1: i -> (a * i + b) mod n, a prime a that does not divide n, b a hash of the seed.
+def permuted(i: Column, n: Column, keys: Column) -> Column:
+    """A pseudorandom bijection of 0 .. n - 1: in each round x and (k - x) mod n, partners of each other, swap or not, by
+    a keyed bit of the larger one."""
 
-    No n below 2**40 is divisible by all of the primes.
-    """
-    a = None
-    for p in PRIMES:
-        a = F.when(n % p != 0, F.lit(p)) if a is None else a.when(n % p != 0, F.lit(p))
-    seed = F.lit(seed) if isinstance(seed, int) else seed
-    return F.pmod(a * i + _mix_bits(seed, 1), n)
+    def swap_or_not(x: Column, key: Column) -> Column:
+        partner = (key["k"] + n - x) % n
+        top = F.greatest(x, partner)
+        y = (top % PRIME * key["a"] + F.floor(top / PRIME) + key["b"]) % PRIME
+        return F.when(F.floor(y * y % PRIME / 1024) % 2 == 1, partner).otherwise(x)
+
+    return F.aggregate(keys, i.cast("long"), swap_or_not)
 
 
 def plan(sources: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -113,38 +124,48 @@ def plan(sources: DataFrame, block: int = BLOCK) -> DataFrame:
 
 def slots(sources: DataFrame, block: int = BLOCK, per_shard: int = SHARD_SLOTS) -> DataFrame:
     """(shard, slot, no, nth, block, share): what each slot of each output shard reads; share < 1 for a source's last."""
-    p = plan(sources, block)
-    total = F.sum("all_slots").over(Window.partitionBy())
-    p = p.withColumn("total", total)
-    # runs of a source's slots: one row for 4096 of them, opened up after the shuffle
-    runs = p.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("all_slots") - 1) / 4096)))).repartition("no", "run")
-    each = runs.withColumn("nth", F.explode(F.sequence(F.col("run") * 4096, F.least(F.col("run") * 4096 + 4095, F.col("all_slots") - 1))))
-    place = permuted(F.col("first") + F.col("nth"), F.col("total"))
-    passes = F.floor(F.col("nth") / F.col("blocks"))
-    at = permuted(F.col("nth") % F.col("blocks"), F.col("blocks"), F.col("no") * 2 + passes)
+    p = plan(sources, block).withColumn("total", F.sum("all_slots").over(Window.partitionBy()))
+    # runs of a source's slots: one row for RUN of them, opened up after the shuffle, in as many tasks as slots ask
+    runs = p.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("all_slots") - 1) / RUN))))
+    n = p.agg(F.sum(F.ceil(F.col("all_slots") / RUN))).first()[0] or 0
+    runs = runs.repartition(max(1, -(-int(n) // TASK_RUNS)), "no", "run")
+    runs = runs.withColumn("deal", round_keys(F.lit("deal"), F.col("total"))).withColumn("keys", F.array(*[round_keys(F.concat_ws("-", "no", F.lit(k)), F.col("blocks")) for k in (0, 1)]))
+    each = runs.withColumn("nth", F.explode(F.sequence(F.col("run") * RUN, F.least(F.col("run") * RUN + RUN - 1, F.col("all_slots") - 1))))
+    each = each.withColumn("place", permuted(F.col("first") + F.col("nth"), F.col("total"), F.col("deal")))
+    passes = F.floor(F.col("nth") / F.col("blocks")).cast("int")
+    at = permuted(F.col("nth") % F.col("blocks"), F.col("blocks"), F.col("keys")[F.least(passes, F.lit(1))])
     share = F.when(F.col("nth") < F.col("slots"), F.lit(1.0)).otherwise(F.col("part"))
-    return each.select(F.floor(place / per_shard).alias("shard"), (place % per_shard).alias("slot"), "no", "nth", at.alias("block"), share.alias("share"))
+    return each.select(F.floor(F.col("place") / per_shard).alias("shard"), (F.col("place") % per_shard).alias("slot"), "no", "nth", at.alias("block"), share.alias("share"))
 
 
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", block: int = BLOCK) -> DataFrame:
-    """(id, size, source_size, target, taken) of every document, repeated rows included."""
+    """(id, size, source_size, target, taken, n_slots, first_shard) of every document, repeated rows included."""
     sized = cut(sizes(docs, key, text, source), "sizes")
     sources = cut(targets(sized), "sources")
     known = _known(sized, sources)
-    read = slots(sources, block).groupBy("no", "block").agg(F.sum(F.when(F.col("share") == 1.0, 1).otherwise(0)).alias("times"), F.max(F.when(F.col("share") < 1.0, F.col("share"))).alias("part"))
-    # slots are opened up from a few rows, so Spark takes their number for small: the hint keeps it from broadcasting them
+    whole = F.col("share") == 1.0
+    read = slots(sources, block).groupBy("no", "block").agg(
+        F.sum(F.when(whole, 1).otherwise(0)).alias("times"), F.min(F.when(whole, F.col("shard"))).alias("shard"),
+        F.max(F.when(~whole, F.col("share"))).alias("part"), F.min(F.when(~whole, F.col("shard"))).alias("part_shard"),
+    )
     # the parts of documents in blocks; places in a stream are unique for documents with a word
     parts = pack(known.where("size > 0"))
     parts = parts.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))))
     lo = F.greatest(F.col("start") - F.col("block") * block, F.lit(0))
     hi = F.least(F.col("start") + F.col("size") - F.col("block") * block, F.lit(block))
+    # slots are opened up from a few rows, so Spark takes their number for small: the hint keeps it from broadcasting them
     joined = parts.withColumn("lo", lo).withColumn("hi", hi).join(read.hint("merge"), ["no", "block"], "left")
     length = F.least(F.lit(block), F.col("source_size") - F.col("block") * block)
-    some = F.greatest(F.least(F.col("hi"), F.floor(F.coalesce("part", F.lit(0.0)) * length)) - F.col("lo"), F.lit(0))
-    words = F.coalesce("times", F.lit(0)) * (F.col("hi") - F.col("lo")) + some
-    out = joined.groupBy("id", "no", "start", "size", "source_size", "target").agg(F.sum(words).cast("long").alias("taken"))
-    none = known.where("size = 0").select("id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
-    return out.select("id", "size", "source_size", "target", "taken").union(none)
+    joined = joined.withColumn("some", F.greatest(F.least(F.col("hi"), F.floor(F.coalesce("part", F.lit(0.0)) * length)) - F.col("lo"), F.lit(0)))
+    times = F.coalesce("times", F.lit(0))
+    words = times * (F.col("hi") - F.col("lo")) + F.col("some")
+    out = joined.groupBy("id", "no", "start", "size", "source_size", "target").agg(
+        F.sum(words).cast("long").alias("taken"), F.sum(times + (F.col("some") > 0).cast("int")).cast("long").alias("n_slots"),
+        F.min(F.least("shard", F.when(F.col("some") > 0, F.col("part_shard")))).alias("first_shard"),
+    )
+    zero = F.lit(0).cast("long")
+    none = known.where("size = 0").select("id", "size", "source_size", "target", zero.alias("taken"), zero.alias("n_slots"), F.lit(None).cast("long").alias("first_shard"))
+    return out.select("id", "size", "source_size", "target", "taken", "n_slots", "first_shard").union(none)
 
 
 def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", block: int = BLOCK) -> DataFrame:
@@ -154,7 +175,9 @@ def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
     words still come near its target.
     """
     row = "__row_hash"
-    keyed = docs.withColumn(row, F.xxhash64(F.col(key), F.col(text)))
+    name = F.col(key).cast("string")
+    # 128 bits stand for a row; the key's length keeps key and text apart
+    keyed = docs.withColumn(row, F.md5(F.concat(F.coalesce(F.length(name), F.lit(-1)).cast("string"), F.lit(":"), F.coalesce(name, F.lit("")), F.coalesce(F.col(text), F.lit("")))))
     took = mix(keyed, row, text, source, block).groupBy("id").agg((F.sum("taken") / F.sum("size")).alias("__times"))
     chance = F.pmod(F.xxhash64(F.lit("copies"), F.col(row)), F.lit(1_000_000)) / 1_000_000
     took = took.where("__times > 0").withColumnRenamed("id", row)

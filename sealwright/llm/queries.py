@@ -155,7 +155,20 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
 FROM c GROUP BY conv_id
 """
 
-_PRIMES = " ".join(f"WHEN blocks % {p} <> 0 THEN {p}" for p in mix.PRIMES)
+
+
+def _sql_permuted(name: str, source: str, x: str, n: str, seed: str) -> str:
+    """CTEs ``name_0`` .. ``name_ROUNDS``: the rows of ``source`` with x, after the last round the permuted place of x."""
+    out = f"{name}_0 AS (SELECT *, {x} AS x FROM {source})"
+    for r in range(1, mix.ROUNDS + 1):
+        out += f""",
+{name}_{r} AS (
+  SELECT * EXCLUDE (x, d, y, z), CASE WHEN (z * z % {mix.PRIME} // 1024) % 2 = 1 THEN y ELSE x END AS x FROM (
+    SELECT *, (greatest(x, y) % {mix.PRIME} * (('0x' || substr(d, 13, 7))::BIGINT + 1) + greatest(x, y) // {mix.PRIME} + ('0x' || substr(d, 20, 7))::BIGINT) % {mix.PRIME} AS z FROM (
+      SELECT *, (('0x' || substr(d, 1, 12))::BIGINT % {n} + {n} - x) % {n} AS y FROM (SELECT *, md5({seed} || ':{r}') AS d FROM {name}_{r - 1}))))"""
+    return out
+
+
 OP5_SQL = f"""
 WITH d AS (
   SELECT doc_id AS id, source AS src, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
@@ -177,19 +190,29 @@ p AS (
 q AS (
   SELECT no, blocks, floor(reads)::BIGINT AS slots, reads - floor(reads) AS part FROM (
     SELECT no, ceil(source_size / {mix.BLOCK}::DOUBLE)::BIGINT AS blocks, least(target / source_size, 2::DOUBLE) * ceil(source_size / {mix.BLOCK}::DOUBLE) AS reads FROM s WHERE source_size > 0)),
-e AS (SELECT no, blocks, slots, part, unnest(range(0, slots + CASE WHEN part > 0 THEN 1 ELSE 0 END)) AS nth FROM q),
+f AS (
+  SELECT *, (sum(own) OVER ())::BIGINT AS total, coalesce(sum(own) OVER (ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first
+  FROM (SELECT *, slots + CASE WHEN part > 0 THEN 1 ELSE 0 END AS own FROM q)),
+e AS (SELECT *, unnest(range(0, own)) AS nth FROM f),
+{_sql_permuted("a", "e", "first + nth", "total", "'deal'")},
+g AS (SELECT * EXCLUDE (x), x // {mix.SHARD_SLOTS} AS shard FROM a_{mix.ROUNDS}),
+{_sql_permuted("b", "g", "nth % blocks", "blocks", "no || '-' || nth // blocks")},
 r AS (
-  SELECT no, (a * (nth % blocks) + ('0x' || substr(md5('1:' || (no * 2 + nth // blocks)::VARCHAR), 1, 5))::BIGINT) % blocks AS block,
-    count(*) FILTER (WHERE nth < slots) AS times, max(part) FILTER (WHERE nth >= slots) AS part
-  FROM (SELECT *, CASE {_PRIMES} END AS a FROM e) GROUP BY 1, 2),
-b AS (SELECT *, unnest(range(start // {mix.BLOCK}, (start + size - 1) // {mix.BLOCK} + 1)) AS block FROM p WHERE size > 0),
-c AS (SELECT *, greatest(start - block * {mix.BLOCK}, 0) AS lo, least(start + size - block * {mix.BLOCK}, {mix.BLOCK}) AS hi FROM b),
+  SELECT no, x AS block, count(*) FILTER (WHERE nth < slots) AS times, min(shard) FILTER (WHERE nth < slots) AS shard,
+    max(part) FILTER (WHERE nth >= slots) AS part, min(shard) FILTER (WHERE nth >= slots) AS part_shard
+  FROM b_{mix.ROUNDS} GROUP BY 1, 2),
+j AS (SELECT *, unnest(range(start // {mix.BLOCK}, (start + size - 1) // {mix.BLOCK} + 1)) AS block FROM p WHERE size > 0),
+c AS (SELECT *, greatest(start - block * {mix.BLOCK}, 0) AS lo, least(start + size - block * {mix.BLOCK}, {mix.BLOCK}) AS hi FROM j),
+m AS (
+  SELECT c.id, c.start, c.no, c.size, c.source_size, c.target, coalesce(r.times, 0) AS times, hi - lo AS words, r.shard, r.part_shard,
+    greatest(least(hi, floor(coalesce(r.part, 0) * least({mix.BLOCK}, c.source_size - c.block * {mix.BLOCK}))::BIGINT) - lo, 0) AS extra
+  FROM c LEFT JOIN r ON c.no = r.no AND c.block = r.block),
 t AS (
-  SELECT c.id, c.start, c.no, c.size, c.source_size, c.target,
-    sum(coalesce(r.times, 0) * (hi - lo) + greatest(least(hi, floor(coalesce(r.part, 0) * least({mix.BLOCK}, c.source_size - c.block * {mix.BLOCK}))::BIGINT) - lo, 0))::BIGINT AS taken
-  FROM c LEFT JOIN r ON c.no = r.no AND c.block = r.block GROUP BY ALL)
-SELECT id AS doc_id, size, source_size, target, taken FROM t
-UNION ALL SELECT id, size, source_size, target, 0 FROM p WHERE size = 0
+  SELECT id, start, no, size, source_size, target, sum(times * words + extra)::BIGINT AS taken, sum(times + CASE WHEN extra > 0 THEN 1 ELSE 0 END)::BIGINT AS n_slots,
+    min(least(shard, CASE WHEN extra > 0 THEN part_shard END))::BIGINT AS first_shard
+  FROM m GROUP BY ALL)
+SELECT id AS doc_id, size, source_size, target, taken, n_slots, first_shard FROM t
+UNION ALL SELECT id, size, source_size, target, 0, 0, NULL FROM p WHERE size = 0
 """
 
 OP7_SQL = """

@@ -76,9 +76,39 @@ def test_odd_rows(spark):
 
 
 def test_permutation(spark):
-    for n in (1, 2, 7, 256, 1000):
-        got = spark.range(n).select(mix.permuted(F.col("id"), F.lit(n), 3)).collect()
-        assert sorted(r[0] for r in got) == list(range(n))
+    for n in (1, 2, 3, 7, 256, 1000):
+        size = F.lit(n).cast("long")
+        got = [spark.range(n).select(mix.permuted(F.col("id"), size, mix.round_keys(F.lit(k), size))).collect() for k in ("a", "b")]
+        assert all(sorted(r[0] for r in x) == list(range(n)) for x in got)
+        assert n < 7 or got[0] != got[1]
+        if n == 1000:  # neighbours do not stay together
+            near = sum(abs(x[0] - y[0]) < 10 for x, y in zip(got[0], got[0][1:]))
+            assert near < 60
+
+
+def test_shard_counts_are_drawn(spark):
+    """Counts per shard spread as multinomial counts under fixed totals do: variance N p (1 - p) (T - N) / (T - 1)."""
+    sizes = {0: 320_000, 1: 213_000, 2: 107_000}
+    src = spark.createDataFrame([(k, v, float(v)) for k, v in sizes.items()], "no int, source_size long, target double")
+    got = mix.slots(src, 10, 256).groupBy("shard", "no").count().collect()
+    total = sum(r["count"] for r in got)
+    full = total // 256
+    for no, size in sizes.items():
+        n = {r.shard: r["count"] for r in got if r.no == no}
+        x = [n.get(k, 0) for k in range(full)]
+        p = size / sum(sizes.values())
+        mean = sum(x) / full
+        spread = sum((v - mean) ** 2 for v in x) / (full - 1)
+        want = 256 * p * (1 - p) * (total - 256) / (total - 1)
+        assert abs(mean - 256 * p) < 1 and 0.7 * want < spread < 1.4 * want, (no, mean, spread, want)
+
+
+def test_shards_of_documents(spark):
+    docs = [(i, "w " * (1 + i % 90), "ab"[i % 2]) for i in range(700)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    rows = mix.mix(df).collect()
+    assert all((r.taken > 0) == (r.n_slots > 0) == (r.first_shard is not None) for r in rows)
+    assert len({r.first_shard for r in rows}) > 1
 
 
 def test_slots_are_exact(spark):
