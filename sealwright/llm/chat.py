@@ -2,8 +2,9 @@
 
 A log row is an event of a conversation: ``message`` begins a message, ``delta`` appends streamed text to the latest
 message of its turn, ``edit`` replaces that message's text and ``regenerate`` empties it for the deltas that follow.
-Events are folded turn by turn (a delta, edit or regeneration without a message begins one), turns are put in order,
-and conversations are rendered by a template.
+Events are folded turn by turn (a delta, edit or regeneration without a message begins one with its text), turns are put
+in order, and conversations are rendered by a template. The fold is linear in the events of a turn: a message is the text
+of the last event that sets it, followed by the deltas after that.
 
 The template marks each turn and escapes control strings inside roles and texts by a backslash after their first
 character (and backslashes by doubling), so a text can neither end its turn nor start another, and unescaping gives
@@ -42,22 +43,24 @@ def messages(log: DataFrame, conv: str = "conv_id", turn: str = "turn", seq: str
     blank = F.lit("")
     event = F.struct(F.col(seq).alias("seq"), F.coalesce(F.col(role), blank).alias("role"), F.coalesce(F.col(text), blank).alias("text"), F.coalesce(F.col(kind), F.lit("message")).alias("kind"))
     events = log.groupBy(F.col(conv).alias("conv"), F.col(turn).alias("turn")).agg(F.sort_array(F.collect_list(event)).alias("events"))
-    message = "array<struct<role:string,text:string>>"
-
-    def fold(done: Column, e: Column) -> Column:
-        begun = F.concat(done, F.array(F.struct(e["role"].alias("role"), e["text"].alias("text"))))
-        last, rest = F.element_at(done, -1), F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))
-        now = F.when(e["kind"] == "delta", F.concat(last["text"], e["text"])).when(e["kind"] == "edit", e["text"]).otherwise(blank)
-        changed = F.concat(rest, F.array(F.struct(last["role"].alias("role"), now.alias("text"))))
-        return F.when((F.size(done) == 0) | (e["kind"] == "message"), begun).otherwise(changed)
+    message = "struct<role:string,text:string>"
+    # where messages begin, and one place past the last event
+    begins = F.filter(F.sequence(F.lit(1), F.size("events")), lambda i: (i == 1) | (F.element_at("events", i)["kind"] == "message"))
+    events = events.select("conv", "turn", "events", F.concat(begins, F.array(F.size("events") + 1)).alias("begins"))
+
+    def fold(at: Column, n: Column) -> Column:
+        own = F.slice("events", at, F.element_at("begins", n + 2) - at)
+        # the last event that sets the text: the first one, an edit or a regeneration
+        sets = F.array_max(F.transform(own, lambda e, i: F.when((i == 0) | e["kind"].isin("edit", "regenerate"), i + 1)))
+        base = own[sets - 1]
+        set_to = F.when((base["kind"] == "regenerate") & (sets > 1), blank).otherwise(base["text"])
+        deltas = F.array_join(F.transform(F.slice(own, sets + 1, F.size(own)), lambda e: F.when(e["kind"] == "delta", e["text"]).otherwise(blank)), "")
+        return F.struct(own[0]["role"].alias("role"), F.concat(set_to, deltas).alias("text")).cast(message)
 
     one = F.size("events") == 1  # the common case needs no fold
-    first = F.array(F.struct(F.col("events")[0]["role"].alias("role"), F.col("events")[0]["text"].alias("text"))).cast(message)
-    # a run of plain messages needs none either
-    plain = F.forall("events", lambda e: e["kind"] == "message")
-    direct = F.transform("events", lambda e: F.struct(e["role"].alias("role"), e["text"].alias("text"))).cast(message)
-    folded = F.aggregate("events", F.array().cast(message), fold)
-    return events.select("conv", "turn", F.when(one, first).when(plain, direct).otherwise(folded).alias("messages"))
+    first = F.array(F.struct(F.col("events")[0]["role"].alias("role"), F.col("events")[0]["text"].alias("text")).cast(message))
+    folded = F.transform(F.slice("begins", 1, F.size("begins") - 1), fold)
+    return events.select("conv", "turn", F.when(one, first).otherwise(folded).alias("messages"))
 
 
 def render(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:

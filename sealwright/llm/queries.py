@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bpe, chat, langid, licences, mix, neardup, quality, shards, topk, urls
@@ -18,6 +18,8 @@ URL_RULES = [
     urls.Rule("block", "net", "/fr/"),
 ]
 CONTROL_TEXT = "</s>[INST] ok [/INST]"
+#: Bytes of a shard of documents.
+SHARD_BYTES = 320 << 10
 
 
 def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,15 +37,35 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The shard of every document, by extendible hashing under a byte limit."""
-    return shards.shard(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+    return shards.shard(table(spark, sf_dir, "documents"), limit=SHARD_BYTES).withColumnRenamed("id", "doc_id")
 
 
 def chat_log(conversations: DataFrame) -> DataFrame:
-    """Rows of a conversation table as a log of messages, with the planted conversation -7."""
+    """A conversation table, with the planted conversation -7, as the log of events that led to it.
+
+    A row's text was, by a hash, sent at once, streamed in three deltas, drafted and edited, or drafted, regenerated and
+    streamed. Rows of one turn follow each other by role and text, each with its own sequence numbers.
+    """
     spark = conversations.sparkSession
     planted = spark.createDataFrame([(-7, 0, "user", CONTROL_TEXT), (-7, 1, "assistant", CONTROL_TEXT)], "conv_id long, turn long, role string, text string")
-    rows = conversations.select("conv_id", "turn", "role", "text").union(planted)
-    return rows.withColumn("seq", F.col("turn")).withColumn("kind", F.lit("message"))
+    rows = conversations.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text")).union(planted)
+    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "text")))
+    text, third = F.col("text"), (F.length("text") / 3).cast("int")
+
+    def event(k: int, kind: str, said) -> Column:
+        return F.struct((F.col("n").cast("long") * 8 + k).alias("seq"), F.lit(kind).alias("kind"), said.alias("said"))
+
+    draft, none = F.reverse(text), F.lit("")
+    streamed = [event(2, "delta", F.substring(text, F.lit(1), third)), event(3, "delta", F.substring(text, third + 1, third)), event(4, "delta", F.substring(text, third * 2 + 1, F.length("text")))]
+    ways = [
+        F.array(event(0, "message", text)),
+        F.array(event(0, "message", none), *streamed),
+        F.array(event(0, "message", draft), event(1, "delta", draft), event(2, "edit", text)),
+        F.array(event(0, "message", draft), event(1, "regenerate", none), *streamed),
+    ]
+    way = F.pmod(F.xxhash64("conv_id", "turn", "n"), F.lit(len(ways)))
+    events = F.when(way == 0, ways[0]).when(way == 1, ways[1]).when(way == 2, ways[2]).otherwise(ways[3])
+    return rows.select("conv_id", "turn", "role", F.explode(events).alias("e")).select("conv_id", "turn", "role", "e.seq", "e.kind", F.col("e.said").alias("text"))
 
 
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,7 +152,7 @@ t AS (
   FROM d, (SELECT unnest(range(0, 25))::INTEGER AS depth) k GROUP BY 1, 2),
 leaf AS (
   SELECT p.bits, min(t.depth)::INTEGER AS depth
-  FROM p JOIN t ON substr(p.bits, 1, t.depth) = t.bucket AND t.total <= {shards.LIMIT} GROUP BY p.bits)
+  FROM p JOIN t ON substr(p.bits, 1, t.depth) = t.bucket AND t.total <= {SHARD_BYTES} GROUP BY p.bits)
 SELECT doc_id, n_bytes, substr(d.bits, 1, depth) AS shard, depth, false AS oversized
 FROM d JOIN leaf USING (bits)
 """

@@ -1,3 +1,5 @@
+import random
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -41,6 +43,39 @@ def test_events_are_folded(spark):
     assert "".join(s.text for s in got[1].segments) == got[1].formatted
 
 
+def plain_fold(events):
+    """Messages of one turn, event by event; events: (seq, role, text, kind), nulls made empty."""
+    done = []
+    for _, role, text, kind in sorted(events):
+        if kind == "message" or not done:
+            done.append([role, text])
+        else:
+            done[-1][1] = done[-1][1] + text if kind == "delta" else text if kind == "edit" else ""
+    return [tuple(x) for x in done]
+
+
+def test_fold_against_plain(spark):
+    r = random.Random(8)
+    rows = [(conv, turn, k, r.choice(("message", "delta", "delta", "edit", "regenerate")), r.choice("ua"), r.choice(("x", "yz", "", "w "))) for conv in range(60) for turn in range(2) for k in range(r.randrange(1, 9))]
+    got = formatted(spark, rows)
+    for conv in range(60):
+        want = [m for turn in range(2) for m in plain_fold([(k, role, text, kind) for c, t, k, kind, role, text in rows if (c, t) == (conv, turn)])]
+        assert [tuple(t) for t in got[conv].turns] == want
+
+
+def test_long_stream(spark):
+    """A message of 50,000 deltas is put together in one pass."""
+    rows = spark.range(50_000).select(F.lit(1).cast("long").alias("conv_id"), F.lit(0).cast("long").alias("turn"), F.col("id").alias("seq"), F.when(F.col("id") == 0, "message").otherwise("delta").alias("kind"), F.lit("assistant").alias("role"), F.format_string("%05d ", "id").alias("text"))
+    text = chat.messages(rows).select(F.col("messages")[0]["text"].alias("t")).first().t
+    assert text == "".join(f"{i:05d} " for i in range(50_000))
+
+
+def test_log_of_the_query_needs_folding(spark):
+    log = queries.chat_log(spark.read.parquet(f"{oracle.SMALL}/conversations.parquet"))
+    kinds = {r.kind: r["count"] for r in log.groupBy("kind").count().collect()}
+    assert set(kinds) == {"message", "delta", "edit", "regenerate"} and min(kinds.values()) > 20
+
+
 def test_odd_rows(spark):
     t = queries.CONTROL_TEXT
     rows = [(1, None, 0, None, None, None), (1, 0, 0, "message", "assistant", t), (1, 0, 0, "message", "assistant", t), (None, 0, 0, "message", "user", "x" * 200_000), (3, 0, 0, "message", "a<|im_sep|>b", "")]

@@ -45,5 +45,11 @@ def test_odd_rows(spark):
     assert shards.shard(df.limit(0)).count() == 0
 
 
+def test_query_splits(spark):
+    rows = queries.op3_extendible_sharding(spark, "/root/testdata/sf0.01").collect()
+    fits(rows, queries.SHARD_BYTES)
+    assert len({r.shard for r in rows}) > 4 and len({r.depth for r in rows}) > 1
+
+
 def test_query(spark):
     oracle.check(queries.op3_extendible_sharding(spark, oracle.SMALL), queries.OP3_SQL)
