@@ -1,27 +1,35 @@
 """Licence scans, with DataFrame functions only.
 
-Units of a text are its lines, its paragraphs (parted by an empty line, which may hold blanks, tabs and carriage returns) and the whole text. A unit is normalised
-(lower-cased, every run of characters other than ASCII letters and digits one blank) and compared with licence templates by the
-Dice coefficient of the sets of word bigrams: 2 |A and B| / (|A| + |B|). Size bounds prune: a coefficient of t needs
-|A| between t / (2 - t) and (2 - t) / t times |B|, so a unit outside all templates' bounds is not compared at all, and
-one inside is compared only with the templates whose bounds it meets. Nothing is shuffled.
-
-Each document gets its best match: the largest coefficient, of equal ones the smaller licence id. Null and empty texts
-and texts without a match get nulls. Repeated rows are judged alike; an empty table gives an empty result; columns
-other than the text are passed through or ignored. Very long texts are cut into units like all others.
+A text is normalised (lower-cased, every run of characters other than ASCII letters and digits one blank) and cut into
+words; its word bigrams are compared with those of licence templates by the Dice coefficient of the sets:
+2 |A and B| / (|A| + |B|). So that a notice counts wherever it stands, inside a line or over several, a text is compared
+window by window: windows are as long as the template and begin where the template's bigrams begin to occur (at an
+occurrence that does not follow another one directly, or at the template's first bigram).
+
+One hash look-up for each bigram of a text finds those that any template holds; all else is done with their positions.
+Size bounds prune: a coefficient of t needs |A and B| of at least t / (2 - t) |B|, so a template is a candidate only for
+windows with as many of its bigrams, which two positions tell. Nothing is shuffled.
+
+Each document gets its best match: the largest coefficient, of equal ones the smaller licence id; and the number of
+templates found. Null and empty texts and texts without a match get nulls. Repeated rows are judged alike; an empty table
+gives an empty result; columns other than the text are passed through or ignored. Very long texts are read whole.
+
+The templates here are short notices, the opening paragraphs of long licences and the full text of short ones; further
+ones, such as full texts of long licences, come from a folder (:func:`read_templates`). A licence body without its
+opening, and paraphrases, are found only with the body as a template.
 """
 
 from __future__ import annotations
 
+import math
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 THRESHOLD = 0.8
-EMPTY_LINE = r"\n[ \t\r]*\n"
 
-#: Public notices and opening paragraphs of common licences, by SPDX identifier.
+#: Public licence texts, notices and opening paragraphs, by SPDX identifier.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
@@ -43,54 +51,77 @@ TEMPLATES = (
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
     ("LicenseRef-all-rights-reserved", "All rights reserved."),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("0BSD", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law."),
+    ("BSL-1.0", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:"),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("LGPL-2.1-or-later", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("LGPL-3.0-or-later", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("AGPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
 )
 
 
-def _words(text: str) -> list[str]:
+def read_templates(spark: SparkSession, folder: str) -> tuple[tuple[str, str], ...]:
+    """(name, text) of every file of a folder, the file's name without its ending the licence's id: a few texts."""
+    rows = spark.read.text(folder, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.txt)?$", 1).alias("name"), "value").collect()
+    return tuple(sorted((r.name, r.value) for r in rows))
+
+
+def words(text: str) -> list[str]:
     return re.sub(r"[^a-z0-9]+", " ", text.lower()).strip().split(" ")
 
 
-def bigram_set(text: str) -> list[str]:
-    w = _words(text)
-    return sorted({f"{a} {b}" for a, b in zip(w, w[1:])})
+def bigram_list(text: str) -> list[str]:
+    w = words(text)
+    return [f"{a} {b}" for a, b in zip(w, w[1:])]
 
 
-def bigrams(words: Column) -> Column:
-    """Distinct word bigrams of an array of words."""
-    n = F.size(words)
-    pairs = F.zip_with(F.slice(words, 1, F.greatest(n - 1, F.lit(0))), F.slice(words, 2, F.greatest(n - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-    return F.array_distinct(pairs)
+def bigrams(text: Column) -> Column:
+    """All word bigrams of a text, in order."""
+    w = F.split(F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " ")), " ")
+    n = F.greatest(F.size(w) - 1, F.lit(0))
+    return F.zip_with(F.slice(w, 1, n), F.slice(w, 2, n), lambda a, b: F.concat_ws(" ", a, b))
 
 
 def with_licence(docs: DataFrame, text: str = "text", out: str = "__licence", templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with a struct ``out`` of the best licence id and its coefficient, and the number of matching units."""
-    known = [(name, b) for name, t in templates if (b := bigram_set(t))]
-    low, high = threshold / (2 - threshold), (2 - threshold) / threshold
-    least = min(len(b) for _, b in known) * low
-    most = max(len(b) for _, b in known) * high
+    """``docs`` with a struct ``out`` of the best licence id and its coefficient, and the number of templates found."""
+    known = [(name, b, sorted(set(b))) for name, t in templates if (b := bigram_list(t))]
+    needs = [math.ceil(threshold / (2 - threshold) * len(own) - 1e-9) for _, _, own in known]
+    every = sorted({g for _, _, own in known for g in own})
+    grams, hits, owns, found = (f"{out}_{x}" for x in ("grams", "hits", "owns", "found"))
     match = "struct<dice:double,id:string>"
 
-    def score(grams: Column) -> Column:
-        """The best match of one unit: (negative coefficient, id), null if none."""
-        n = F.size(grams)
-        found = []
-        for name, b in known:
-            near = (n >= len(b) * low - 1e-9) & (n <= len(b) * high + 1e-9)
-            shared = F.size(F.array_intersect(grams, F.array(*map(F.lit, b))))
-            dice = 2.0 * shared / (n + len(b))
-            found.append(F.when(near, F.when(dice >= threshold - 1e-9, F.struct((-dice).alias("dice"), F.lit(name).alias("id")).cast(match))))
-        return F.least(*found)
-
-    # a unit of fewer words cannot match, nor can one whose words are too many even if bigrams repeat no more than allowed
-    lower = F.lower(F.col(text))
-    lines = F.split(lower, "\n")
-    paragraphs = F.when(F.col(text).rlike(EMPTY_LINE), F.split(lower, EMPTY_LINE)).otherwise(F.array().cast("array<string>"))
-    whole = F.when(F.contains(F.col(text), F.lit("\n")), F.array(lower)).otherwise(F.array().cast("array<string>"))
-    units = F.concat(lines, paragraphs, whole)
-    words = F.transform(units, lambda u: F.split(F.trim(F.regexp_replace(u, "[^a-z0-9]+", " ")), " "))
-    sized = F.filter(words, lambda w: F.size(w) > least)
-    grams = F.filter(F.transform(sized, bigrams), lambda g: (F.size(g) >= least - 1e-9) & (F.size(g) <= most + 1e-9))
-    found = f"{out}_found"
-    docs = docs.withColumn(found, F.filter(F.transform(grams, score), lambda x: x.isNotNull()))
-    best = F.array_min(found)
-    return docs.withColumn(out, F.struct(best["id"].alias("licence_id"), (-best["dice"]).alias("dice"), F.coalesce(F.size(found), F.lit(0)).alias("n_matches"))).drop(found)
+    def of(k: int) -> Column:
+        """Positions of the bigrams of template k, where there are enough of them."""
+        own = F.filter(hits, lambda p: F.get(F.col(grams), p).isin(known[k][2]))
+        return F.when(F.size(hits) >= needs[k], own)
+
+    def best(k: int) -> Column:
+        """(negative coefficient, id) of the best window for template k, null if none."""
+        name, b, own = known[k]
+        at = F.col(owns)[k]
+
+        def begins(p: Column, i: Column) -> Column:
+            enough = F.coalesce(F.get(at, i + (needs[k] - 1)) < p + len(b), F.lit(False))
+            return enough & ((i == 0) | (F.get(at, i - 1) < p - 1) | (F.get(F.col(grams), p) == b[0]))
+
+        def score(p: Column) -> Column:
+            window = F.slice(grams, p + 1, len(b))
+            shared = F.size(F.array_intersect(window, F.array(*map(F.lit, own))))
+            dice = 2.0 * shared / (F.size(F.array_distinct(window)) + len(own))
+            return F.when(dice >= threshold - 1e-9, F.struct((-dice).alias("dice"), F.lit(name).alias("id")).cast(match))
+
+        return F.when(F.size(at) >= needs[k], F.array_min(F.transform(F.filter(at, begins), score)))
+
+    docs = docs.withColumn(grams, bigrams(F.col(text)))
+    docs = docs.withColumn(hits, F.filter(F.transform(grams, lambda g, i: F.when(g.isin(every), i)), lambda i: i.isNotNull()))
+    docs = docs.withColumn(owns, F.array(*map(of, range(len(known)))))
+    docs = docs.withColumn(found, F.filter(F.array(*map(best, range(len(known)))), lambda x: x.isNotNull()))
+    top = F.array_min(found)
+    said = F.struct(top["id"].alias("licence_id"), (-top["dice"]).alias("dice"), F.coalesce(F.size(found), F.lit(0)).alias("n_matches"))
+    return docs.withColumn(out, said).drop(grams, hits, owns, found)

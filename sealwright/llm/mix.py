@@ -33,11 +33,11 @@ from .common import WORD, cut
 BLOCK, ROWS, SHARD_SLOTS = 64, 2_000, 256
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, MOST = 1.5, 2.0
-ROUNDS = 16
+ROUNDS = 10
 #: The modulus of the round functions, a prime.
 PRIME = 2**31 - 1
 #: Slots opened up from one row, and such rows of one task.
-RUN, TASK_RUNS = 4096, 32
+RUN, TASK_RUNS = 4096, 16
 #: Sources whose table may be broadcast; beyond, a salted join takes its place.
 FEW_SOURCES = 50_000
 
@@ -92,11 +92,10 @@ def pack(known: DataFrame) -> DataFrame:
 
 
 def round_keys(seed: Column, n: Column) -> Column:
-    """The keys of the rounds of a permutation of 0 .. n - 1, an array of (k, a, b), from the digest of seed and round."""
-    digest = lambda r: F.md5(F.concat_ws(":", seed.cast("string"), r.cast("string")))
+    """The keys of the rounds of a permutation of 0 .. n - 1, an array of (k, a, b), from the digests of seed and round."""
+    digests = F.transform(F.sequence(F.lit(1), F.lit(ROUNDS)), lambda r: F.md5(F.concat_ws(":", seed.cast("string"), r.cast("string"))))
     part = lambda d, at, k: F.conv(F.substring(d, at, k), 16, 10).cast("long")
-    keys = F.transform(F.sequence(F.lit(1), F.lit(ROUNDS)), digest)
-    return F.transform(keys, lambda d: F.struct((part(d, 1, 12) % n).alias("k"), (part(d, 13, 7) + 1).alias("a"), part(d, 20, 7).alias("b")))
+    return F.transform(digests, lambda d: F.struct((part(d, 1, 12) % n).alias("k"), (part(d, 13, 7) + 1).alias("a"), part(d, 20, 7).alias("b")))
 
 
 def permuted(i: Column, n: Column, keys: Column) -> Column:
@@ -106,8 +105,8 @@ def permuted(i: Column, n: Column, keys: Column) -> Column:
     def swap_or_not(x: Column, key: Column) -> Column:
         partner = (key["k"] + n - x) % n
         top = F.greatest(x, partner)
-        y = (top % PRIME * key["a"] + F.floor(top / PRIME) + key["b"]) % PRIME
-        return F.when(F.floor(y * y % PRIME / 1024) % 2 == 1, partner).otherwise(x)
+        y = (top % PRIME * key["a"] + F.shiftright(top, 31) + key["b"]) % PRIME
+        return F.when(F.shiftright(y * y % PRIME, 10).bitwiseAND(F.lit(1)) == 1, partner).otherwise(x)
 
     return F.aggregate(keys, i.cast("long"), swap_or_not)
 
@@ -129,13 +128,18 @@ def slots(sources: DataFrame, block: int = BLOCK, per_shard: int = SHARD_SLOTS)
     runs = p.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("all_slots") - 1) / RUN))))
     n = p.agg(F.sum(F.ceil(F.col("all_slots") / RUN))).first()[0] or 0
     runs = runs.repartition(max(1, -(-int(n) // TASK_RUNS)), "no", "run")
-    runs = runs.withColumn("deal", round_keys(F.lit("deal"), F.col("total"))).withColumn("keys", F.array(*[round_keys(F.concat_ws("-", "no", F.lit(k)), F.col("blocks")) for k in (0, 1)]))
-    each = runs.withColumn("nth", F.explode(F.sequence(F.col("run") * RUN, F.least(F.col("run") * RUN + RUN - 1, F.col("all_slots") - 1))))
-    each = each.withColumn("place", permuted(F.col("first") + F.col("nth"), F.col("total"), F.col("deal")))
-    passes = F.floor(F.col("nth") / F.col("blocks")).cast("int")
-    at = permuted(F.col("nth") % F.col("blocks"), F.col("blocks"), F.col("keys")[F.least(passes, F.lit(1))])
+    runs = runs.withColumn("deal", round_keys(F.lit("deal"), F.col("total"))).withColumn("keys", F.array(*[round_keys(F.concat_ws("-", "no", F.lit(k)), F.col("blocks")) for k in (0, 1, 2)]))
+
+    def slot(nth: Column) -> Column:
+        place = permuted(F.col("first") + nth, F.col("total"), F.col("deal"))
+        at = permuted(nth % F.col("blocks"), F.col("blocks"), F.col("keys")[F.floor(nth / F.col("blocks")).cast("int")])
+        return F.struct(nth.alias("nth"), place.alias("place"), at.alias("block"))
+
+    # slots are made inside a run's row, so that no slot carries the keys
+    own = F.transform(F.sequence(F.col("run") * RUN, F.least(F.col("run") * RUN + RUN - 1, F.col("all_slots") - 1)), slot)
+    each = runs.select("no", "slots", "part", F.explode(own).alias("s")).select("no", "slots", "part", "s.*")
     share = F.when(F.col("nth") < F.col("slots"), F.lit(1.0)).otherwise(F.col("part"))
-    return each.select(F.floor(F.col("place") / per_shard).alias("shard"), (F.col("place") % per_shard).alias("slot"), "no", "nth", at.alias("block"), share.alias("share"))
+    return each.select(F.floor(F.col("place") / per_shard).alias("shard"), (F.col("place") % per_shard).alias("slot"), "no", "nth", "block", share.alias("share"))
 
 
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", block: int = BLOCK) -> DataFrame:

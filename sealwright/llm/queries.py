@@ -185,8 +185,8 @@ def _sql_permuted(name: str, source: str, x: str, n: str, seed: str) -> str:
     for r in range(1, mix.ROUNDS + 1):
         out += f""",
 {name}_{r} AS (
-  SELECT * EXCLUDE (x, d, y, z), CASE WHEN (z * z % {mix.PRIME} // 1024) % 2 = 1 THEN y ELSE x END AS x FROM (
-    SELECT *, (greatest(x, y) % {mix.PRIME} * (('0x' || substr(d, 13, 7))::BIGINT + 1) + greatest(x, y) // {mix.PRIME} + ('0x' || substr(d, 20, 7))::BIGINT) % {mix.PRIME} AS z FROM (
+  SELECT * EXCLUDE (x, d, y, z), CASE WHEN ((z * z % {mix.PRIME}) >> 10) & 1 = 1 THEN y ELSE x END AS x FROM (
+    SELECT *, (greatest(x, y) % {mix.PRIME} * (('0x' || substr(d, 13, 7))::BIGINT + 1) + (greatest(x, y) >> 31) + ('0x' || substr(d, 20, 7))::BIGINT) % {mix.PRIME} AS z FROM (
       SELECT *, (('0x' || substr(d, 1, 12))::BIGINT % {n} + {n} - x) % {n} AS y FROM (SELECT *, md5({seed} || ':{r}') AS d FROM {name}_{r - 1}))))"""
     return out
 
@@ -254,24 +254,20 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM i L
 
 def _op9_sql() -> str:
     quoted = ", ".join("({}, '{}', '{}')".format(i, name, t.replace("'", "''")) for i, (name, t) in enumerate(licences.TEMPLATES))
-    norm = "string_split(trim(regexp_replace({}, '[^a-z0-9]+', ' ', 'g')), ' ')"
-    grams = "list_distinct(list_transform(list_zip(w[:-2], w[2:]), lambda x: concat_ws(' ', x[1], x[2])))"
+    words = "string_split(trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g')), ' ')"
+    grams = "list_transform(list_zip(w[:-2], w[2:]), lambda x: concat_ws(' ', x[1], x[2]))"
     return f"""
 WITH raw(k, name, t) AS (VALUES {quoted}),
-tpl AS (SELECT k, name, {grams} AS b FROM (SELECT k, name, {norm.format("lower(t)")} AS w FROM raw)),
-d AS (SELECT row_number() OVER () AS n, doc_id, text FROM documents),
-u AS (
-  SELECT n, unnest(list_concat(string_split(lower(text), chr(10)),
-    CASE WHEN contains(text, chr(10) || chr(10)) THEN regexp_split_to_array(lower(text), '\\n[ \\t\\r]*\\n') ELSE [] END,
-    CASE WHEN contains(text, chr(10)) THEN [lower(text)] ELSE [] END)) AS unit
-  FROM d WHERE text IS NOT NULL),
-w AS (SELECT n, row_number() OVER () AS unit_no, {norm.format("unit")} AS w FROM u),
-g AS (SELECT n, unit_no, {grams} AS a FROM w WHERE len(w) > 1),
+tpl AS (SELECT k, name, g, list_distinct(g) AS b FROM (SELECT k, name, {grams} AS g FROM (SELECT k, name, {words.format("t")} AS w FROM raw))),
+tg AS (SELECT k, unnest(b) AS gram FROM tpl),
+d AS (SELECT n, doc_id, {grams} AS g FROM (SELECT row_number() OVER () AS n, doc_id, {words.format("text")} AS w FROM documents)),
+u AS (SELECT n, unnest(g) AS gram, unnest(range(1, len(g) + 1)) AS pos FROM d),
+h AS (SELECT u.n, tg.k, u.gram, u.pos, lag(u.pos) OVER (PARTITION BY u.n, tg.k ORDER BY u.pos) AS before FROM u JOIN tg USING (gram)),
 s AS (
-  SELECT g.n, g.unit_no, tpl.name, 2.0::DOUBLE * len(list_intersect(g.a, tpl.b)) / (len(g.a) + len(tpl.b)) AS dice
-  FROM g JOIN tpl ON len(g.a) BETWEEN len(tpl.b) * {0.8 / 1.2} - 1e-9 AND len(tpl.b) * 1.5 + 1e-9),
-ok AS (SELECT * FROM s WHERE dice >= 0.8 - 1e-9),
-best AS (SELECT n, max(dice) AS dice, count(DISTINCT unit_no)::BIGINT AS n_matches FROM ok GROUP BY n),
+  SELECT h.n, h.k, tpl.name, tpl.b, list_distinct(d.g[h.pos:h.pos + len(tpl.g) - 1]) AS a
+  FROM h JOIN tpl USING (k) JOIN d USING (n) WHERE h.before IS NULL OR h.before < h.pos - 1 OR h.gram = tpl.g[1]),
+ok AS (SELECT * FROM (SELECT n, k, name, 2.0::DOUBLE * len(list_intersect(a, b)) / (len(a) + len(b)) AS dice FROM s) WHERE dice >= {licences.THRESHOLD} - 1e-9),
+best AS (SELECT n, max(dice) AS dice, count(DISTINCT k)::BIGINT AS n_matches FROM ok GROUP BY n),
 named AS (SELECT best.n, best.dice, best.n_matches, min(ok.name) AS licence_id FROM best JOIN ok ON ok.n = best.n AND ok.dice = best.dice GROUP BY ALL)
 SELECT d.doc_id, licence_id, round(dice, 6) AS dice, coalesce(n_matches, 0)::BIGINT AS n_matches FROM d LEFT JOIN named USING (n)
 """
