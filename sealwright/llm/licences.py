@@ -6,7 +6,7 @@ words; its word bigrams are compared with those of licence templates by the Dice
 window by window: windows are as long as the template and begin where the template's bigrams begin to occur (at an
 occurrence that does not follow another one directly, or at the template's first bigram).
 
-One hash look-up for each bigram of a text finds those that any template holds; all else is done with their positions.
+Hash look-ups of words and bigrams find the bigrams that any template holds; all else is done with their positions.
 Size bounds prune: a coefficient of t needs |A and B| of at least t / (2 - t) |B|, so a template is a candidate only for
 windows with as many of its bigrams, which two positions tell. Nothing is shuffled.
 
@@ -81,9 +81,12 @@ def bigram_list(text: str) -> list[str]:
     return [f"{a} {b}" for a, b in zip(w, w[1:])]
 
 
-def bigrams(text: Column) -> Column:
-    """All word bigrams of a text, in order."""
-    w = F.split(F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " ")), " ")
+def text_words(text: Column) -> Column:
+    return F.split(F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " ")), " ")
+
+
+def bigrams(w: Column) -> Column:
+    """All bigrams of an array of words, in order."""
     n = F.greatest(F.size(w) - 1, F.lit(0))
     return F.zip_with(F.slice(w, 1, n), F.slice(w, 2, n), lambda a, b: F.concat_ws(" ", a, b))
 
@@ -93,35 +96,37 @@ def with_licence(docs: DataFrame, text: str = "text", out: str = "__licence", te
     known = [(name, b, sorted(set(b))) for name, t in templates if (b := bigram_list(t))]
     needs = [math.ceil(threshold / (2 - threshold) * len(own) - 1e-9) for _, _, own in known]
     every = sorted({g for _, _, own in known for g in own})
-    grams, hits, owns, found = (f"{out}_{x}" for x in ("grams", "hits", "owns", "found"))
+    begin, end = (sorted({g.split(" ")[i] for g in every}) for i in (0, 1))
+    w, seen, hits, owns, found = (f"{out}_{x}" for x in ("words", "seen", "hits", "owns", "found"))
     match = "struct<dice:double,id:string>"
 
     def of(k: int) -> Column:
-        """Positions of the bigrams of template k, where there are enough of them."""
-        own = F.filter(hits, lambda p: F.get(F.col(grams), p).isin(known[k][2]))
-        return F.when(F.size(hits) >= needs[k], own)
+        """The hits of template k, where there are enough of them."""
+        return F.when(F.size(hits) >= needs[k], F.filter(hits, lambda h: h["g"].isin(known[k][2])))
 
     def best(k: int) -> Column:
         """(negative coefficient, id) of the best window for template k, null if none."""
         name, b, own = known[k]
         at = F.col(owns)[k]
 
-        def begins(p: Column, i: Column) -> Column:
-            enough = F.coalesce(F.get(at, i + (needs[k] - 1)) < p + len(b), F.lit(False))
-            return enough & ((i == 0) | (F.get(at, i - 1) < p - 1) | (F.get(F.col(grams), p) == b[0]))
+        def begins(h: Column, i: Column) -> Column:
+            enough = F.coalesce(F.get(at, i + (needs[k] - 1))["i"] < h["i"] + len(b), F.lit(False))
+            return enough & ((i == 0) | (F.get(at, i - 1)["i"] < h["i"] - 1) | (h["g"] == b[0]))
 
-        def score(p: Column) -> Column:
-            window = F.slice(grams, p + 1, len(b))
+        def score(window: Column) -> Column:
             shared = F.size(F.array_intersect(window, F.array(*map(F.lit, own))))
             dice = 2.0 * shared / (F.size(F.array_distinct(window)) + len(own))
             return F.when(dice >= threshold - 1e-9, F.struct((-dice).alias("dice"), F.lit(name).alias("id")).cast(match))
 
-        return F.when(F.size(at) >= needs[k], F.array_min(F.transform(F.filter(at, begins), score)))
+        windows = F.transform(F.filter(at, begins), lambda h: bigrams(F.slice(w, h["i"] + 1, len(b) + 1)))
+        return F.when(F.size(at) >= needs[k], F.array_min(F.transform(windows, score)))
 
-    docs = docs.withColumn(grams, bigrams(F.col(text)))
-    docs = docs.withColumn(hits, F.filter(F.transform(grams, lambda g, i: F.when(g.isin(every), i)), lambda i: i.isNotNull()))
+    # words are looked up first, so that bigrams are put together only where both words occur in some template's
+    docs = docs.withColumn(w, text_words(F.col(text)))
+    docs = docs.withColumn(seen, F.filter(F.transform(w, lambda x, i: F.when(x.isin(begin), i)), lambda i: i.isNotNull()))
+    docs = docs.withColumn(hits, F.filter(F.transform(F.filter(seen, lambda i: F.get(w, i + 1).isin(end)), lambda i: F.struct(i.alias("i"), F.concat_ws(" ", F.get(w, i), F.get(w, i + 1)).alias("g"))), lambda h: h["g"].isin(every)))
     docs = docs.withColumn(owns, F.array(*map(of, range(len(known)))))
     docs = docs.withColumn(found, F.filter(F.array(*map(best, range(len(known)))), lambda x: x.isNotNull()))
     top = F.array_min(found)
     said = F.struct(top["id"].alias("licence_id"), (-top["dice"]).alias("dice"), F.coalesce(F.size(found), F.lit(0)).alias("n_matches"))
-    return docs.withColumn(out, said).drop(grams, hits, owns, found)
+    return docs.withColumn(out, said).drop(w, seen, hits, owns, found)
