@@ -36,7 +36,7 @@ from bisect import bisect_left
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -384,13 +384,20 @@ def _rare_pairs(nodes: DataFrame, seqs: DataFrame) -> DataFrame:
     return left.join(right, "token").where("ra < rb").select("a", "b")
 
 
+def row_hashes(key: str, text: str) -> tuple[Column, Column]:
+    """Two 64-bit hashes of a row's key and text, which stand for the row together."""
+    return F.xxhash64(key, text), F.xxhash64(F.lit("check"), text, key)
+
+
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each document: (doc_id, row_hash, root, class_id).
+    """One row for each document: (doc_id, row_hash, row_check, root, class_id).
 
-    row_hash is xxhash64 of key and text; root is the class's least word digest, null for a text without words.
+    The first two hashes (:func:`row_hashes`) tell rows apart; root is the class's least word digest, null for a text
+    without words.
     """
-    rows = docs.select(F.col(key).alias("id"), F.xxhash64(key, text).alias("row_hash"), F.col(text).alias("t"))
-    base = cut(rows.withColumn("s", _node.asNondeterministic()("t")).select("id", "row_hash", "s.node", "s.sketch"), "nodes")
+    row_hash, row_check = row_hashes(key, text)
+    rows = docs.select(F.col(key).alias("id"), row_hash.alias("row_hash"), row_check.alias("row_check"), F.col(text).alias("t"))
+    base = cut(rows.withColumn("s", _node.asNondeterministic()("t")).select("id", "row_hash", "row_check", "s.node", "s.sketch"), "nodes")
     nodes = base.where("node is not null").groupBy("node").agg(F.min("id").alias("own"), F.min("row_hash").alias("row_hash"), F.first("sketch").alias("sketch"))
 
     entries = nodes.select("node", "row_hash", F.explode("sketch").alias("bucket"))
@@ -407,5 +414,5 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     if roots is not None:
         least = named.join(roots.select("root").distinct(), "root").groupBy("root").agg(F.min("own").alias("least"))
         named = named.join(least, "root", "left").select("node", "root", F.coalesce("least", "own").alias("own"))
-    out = _joined(base.select("id", "row_hash", "node"), named, "node", "left")
-    return out.select(F.col("id").alias(key), "row_hash", "root", F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("own")).alias("class_id"))
+    out = _joined(base.select("id", "row_hash", "row_check", "node"), named, "node", "left")
+    return out.select(F.col("id").alias(key), "row_hash", "row_check", "root", F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("own")).alias("class_id"))
