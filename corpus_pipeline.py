@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sealwright.llm import bpe, langid, mix, neardup, quality
-from sealwright.llm.common import BATCH, cut, shared_dir, table
+from sealwright.llm.common import BATCH, cut, table
 from sealwright.llm.queries import _tokenizer, held_out
 
 
@@ -19,38 +19,57 @@ ROWS_PER_BATCH = 2_000
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules and the learned decision list keep."""
+    """Documents that the base rules and the learned decision list keep.
+
+    A null or empty text has no word, fails the base rules and goes; a null doc_id has no label and is judged like any
+    other row. Repeated rows are all kept or all rejected. No documents give none; columns pass through.
+    """
     spark.conf.set(BATCH, ROWS_PER_BATCH)
     rules = quality.fit(docs, table(spark, sf_dir, "labels"))
     return quality.judge(docs, rules).where("__quality.kept").drop("__quality")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told: a text without letters, or as near to two languages, goes."""
+    """Documents that have a language: a text that is null or has no letter goes.
+
+    A text that fits two languages alike stays, and so does every text with a letter where no row teaches a language
+    (the lang column is null, or all labelled rows are held out). Repeated rows are treated alike, columns pass through.
+    """
     spark.conf.set(BATCH, ROWS_PER_BATCH)
     model = langid.train(docs.where(~held_out()))
     said = langid.with_language(docs, model)
-    return said.where("__lang.lang <> 'und' and __lang.score > 0").drop("__lang")
+    return said.where("__lang.letters > 0").drop("__lang")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class: that of the smallest doc_id; of repeated rows one stays."""
+    """One document of each near-duplicate class: that of the smallest doc_id; of repeated rows one stays.
+
+    A text without a word (null too) is a class of its own. Rows with a null doc_id stay only if no row of their class
+    has one; of several rows of one smallest doc_id that of the least hash stays. Columns pass through.
+    """
     found = cut(neardup.classes(docs), "classes")
-    # a text without a word is a class of its own
-    kept = found.where("root is null").select("row_hash").union(found.where("root is not null and doc_id <=> class_id").groupBy("root").agg(F.min("row_hash").alias("row_hash")).select("row_hash")).distinct()
-    out = docs.withColumn("__row", F.xxhash64("doc_id", "text")).join(kept.withColumnRenamed("row_hash", "__row"), "__row")
-    if not found.groupBy("row_hash").count().where("count > 1").join(kept, "row_hash").isEmpty():
-        out = out.dropDuplicates(["__row"])
+    row = F.struct("row_hash", "row_check").alias("row")
+    least = found.where("root is not null and doc_id <=> class_id").groupBy("root").agg(F.min(row).alias("row"))
+    kept = found.where("root is null").select(row).union(least.select("row")).distinct().select("row.*")
+    hashes = dict(zip(("__row", "__check"), neardup.row_hashes("doc_id", "text")))
+    out = docs.withColumns(hashes).join(kept.toDF(*hashes), list(hashes))
+    if not found.groupBy("row_hash", "row_check").count().where("count > 1").join(kept, ["row_hash", "row_check"]).isEmpty():
+        out = out.dropDuplicates(list(hashes))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents of the mix, each as often as it is taken."""
+    """The documents of the mix, each as often as it is taken: 0, 1 or 2 times.
+
+    Null and empty texts are never taken; a null source is a source of its own; repeated rows count together and are
+    taken alike. No documents give none; columns pass through.
+    """
     return mix.mixed(docs)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of every document of the mix."""
+    """Token counts and digests of every document of the mix; a null or empty text has no token. Repeated rows give
+    repeated rows."""
     spark.conf.set(BATCH, ROWS_PER_BATCH)
     return bpe.with_digests(docs.select("doc_id", "lang", "source", "text"), *_tokenizer()).select("doc_id", "lang", "source", "__bpe.*")
 
@@ -68,14 +87,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``, each written as Parquet in the shared folder and read again."""
-    import uuid
+    """All stages over the documents of ``sf_dir``, each written as Parquet in the shared folder and read again.
 
-    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    The tables between stages are deleted when the driver ends.
+    """
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            out.write.parquet(f"{folder}/{i}")
-            docs = spark.read.parquet(f"{folder}/{i}")
+            docs = cut(out, f"stage{i}")
     return out
