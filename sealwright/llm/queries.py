@@ -129,15 +129,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 OP1_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS w FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+  SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS w FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (
-  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
-         list_inner_product(q.w::DOUBLE[], c.w::DOUBLE[])::BIGINT AS score
-  FROM (SELECT DISTINCT ON (vec_id) * FROM v WHERE vec_id % 50 = 0) q JOIN v c
-    ON q.vec_id <> c.vec_id AND len(q.w) = len(c.w)),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+  SELECT q.n, q.vec_id AS query_id, c.vec_id AS vec_id, coalesce(list_inner_product(q.w::DOUBLE[], c.w::DOUBLE[])::BIGINT, 0) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.n <> c.n AND len(q.w) = len(c.w)),
+r AS (SELECT *, row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 

@@ -9,20 +9,20 @@ from tests import oracle
 
 
 def brute(rows, k=5):
-    ok = [(i, [math.floor(256 * float(np.float32(x))) for x in v]) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
+    hold = lambda x: max(-(2**63), min(2**63 - 1, x))
+    ok = [(i, [hold(math.floor(256 * float(np.float32(x)))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for q in sorted({i for i, _ in ok if i % 50 == 0}):
-        w = next(w for i, w in ok if i == q)
-        s = sorted((-sum(a * b for a, b in zip(w, c)), i) for i, c in ok if i != q and len(c) == len(w))[:k]
-        out += [(q, n + 1, i, -v) for n, (v, i) in enumerate(s)]
+    for n, (q, w) in enumerate(ok):
+        if q % 50 == 0:
+            s = sorted((-hold(sum(a * b for a, b in zip(w, c))), i) for m, (i, c) in enumerate(ok) if m != n and len(c) == len(w))[:k]
+            out += [(q, r + 1, i, -v) for r, (v, i) in enumerate(s)]
     return sorted(out)
 
 
 @pytest.fixture()
 def small(monkeypatch):
-    monkeypatch.setattr(topk, "BLOCK", 4)
-    monkeypatch.setattr(topk, "CELL_BLOCKS", 5)
-    monkeypatch.setattr(topk, "CELL_QUERIES", 2)
+    for name, n in (("BLOCK", 4), ("CELL", 20), ("QUERIES", 2), ("TILE", 3)):
+        monkeypatch.setattr(topk, name, n)
 
 
 def run(spark, rows, extra=False):
@@ -47,19 +47,38 @@ def test_odd_rows(spark, small):
 
 
 def test_repeated_ids(spark, small):
-    rows = [(50, [1.0, 0.5]), (50, [1.0, 0.5]), (7, [2.0, 2.0]), (7, [2.0, 2.0]), (8, [1.0, 0.0])]
+    rows = [(50, [1.0, 0.5]), (50, [1.0, 0.5]), (50, [0.25, 0.5]), (7, [2.0, 2.0]), (7, [2.0, 2.0]), (8, [1.0, 0.0]), (100, []), (100, []), (3, [])]
     assert run(spark, rows) == brute(rows)
+    rows = [(0, [1.0, 0.5])] * 30 + [(i % 3, [0.5, 0.25 * i]) for i in range(40)]
+    assert run(spark, rows) == brute(rows)
+
+
+def test_huge_components(spark, small):
+    rows = [(i * 25, [x, 1.0]) for i, x in enumerate((1.0, 1e8, -1e8, 3e14, -3e14, 1e30, -1e30, 1e38))]
+    assert run(spark, rows) == brute(rows)
+
+
+def test_clustered_vectors_prune(spark, small, monkeypatch):
+    """Queries of clustered vectors go to few cells; the result is that of brute force."""
+    r = np.random.default_rng(5)
+    centres = r.normal(0, 1, (12, 6))
+    rows = [(i, (centres[i // 40] + r.normal(0, 0.02, 6)).astype("f4").tolist()) for i in range(480)]
+    seen = []
+    scored = topk._scored
+    monkeypatch.setattr(topk, "_scored", lambda asked, *x: seen.append(asked.count()) or scored(asked, *x))
+    assert run(spark, rows) == brute(rows)
+    assert sum(seen) < 10 * 24 / 2
 
 
 def test_bounds_prune_without_loss():
     r = np.random.default_rng(0)
     c = np.sort(r.integers(-40, 40, (500, 3)), axis=0)
     q = r.integers(-40, 40, (6, 3))
-    got = topk.search_cell(np.arange(6) + 10_000, q, np.arange(500), c, 5, 16)
+    floors = [None, None, None, *np.sort(q[3:] @ c.T, axis=1)[:, -5].tolist()]
+    got = topk.search_cell(np.arange(6) + 10_000, q, floors, np.arange(500), np.ones(500, int), c, 5, 16)
     for i in range(6):
-        s = c @ q[i]
-        want = sorted(zip(-s, range(500)))[:5]
-        assert [(-x, y) for _, y, x in [g for g in got if g[0] == 10_000 + i]] == [(a, b) for a, b in want]
+        want = sorted(zip(-(c @ q[i]), range(500)))[:5]
+        assert [(-x, y) for n, y, x in got if n == i] == [(a, b) for a, b in want]
 
 
 def test_query(spark):
