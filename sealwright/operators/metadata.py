@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -226,6 +228,31 @@ def validate_json(document: dict, schema: dict, path: str = "") -> list[str]:
     return out
 
 
+def schema_problems(df: DataFrame, document: str, schema: dict, out: str = "problems") -> DataFrame:
+    """``df`` with the problems of each JSON document under the schema; a null or malformed one is not of any type."""
+
+    @F.pandas_udf("array<string>")
+    def check(texts: pd.Series) -> pd.Series:
+        found = []
+        for t in texts:
+            try:
+                value = None if t is None else json.loads(t)
+            except ValueError:
+                value = None
+            found.append(validate_json(value, schema))
+        return pd.Series(found, dtype=object)
+
+    return df.withColumn(out, check(F.col(document)))
+
+
+def registered(objects: DataFrame, registry: dict[str, Iterable[str]], kind: str = "type", names: str | None = None) -> DataFrame:
+    """``objects`` with whether their type is registered and, given the names they have, which of the type's are missing."""
+    known = F.create_map(*[x for k, needed in registry.items() for x in (F.lit(k), F.array(*map(F.lit, needed)).cast("array<string>"))])
+    needed = F.try_element_at(known, F.col(kind))
+    out = objects.withColumn("known", needed.isNotNull())
+    return out if names is None else out.withColumn("missing", F.array_except(needed, names))
+
+
 def licence_ready(licence: str | None) -> bool:
     """Whether a licence is an SPDX identifier or a URL."""
     return bool(licence) and bool(re.match(LICENCE, licence))

@@ -24,9 +24,10 @@ def over_images(mask: DataFrame, images: DataFrame, axes: list[str]) -> DataFram
     return statistics(mask.join(images, axes), ["image", "label"])
 
 
-def relative_threshold(voxels: DataFrame, keys: list[str], fraction: float, value: str = "v") -> DataFrame:
-    """Voxels of at least a fraction of their group's maximum; the maxima are an aggregate joined back."""
-    top = voxels.groupBy(*keys).agg(F.max(value).alias("__top"))
+def relative_threshold(voxels: DataFrame, keys: list[str], fraction: float, value: str = "v", seed: Column | None = None) -> DataFrame:
+    """Voxels of at least a fraction of their group's maximum, taken in the seed region if one is given; the maxima are
+    an aggregate joined back. A group without a seed has no voxels."""
+    top = voxels.groupBy(*keys).agg(F.max(F.col(value) if seed is None else F.when(seed, F.col(value))).alias("__top"))
     return voxels.join(top, keys).where(F.col(value) >= F.lit(fraction) * F.col("__top")).drop("__top")
 
 

@@ -9,6 +9,7 @@ from ..functions.expressions import affine
 from ..functions.tables import table
 from ..operators import arrays as A
 from ..operators import regions as R
+from ..sources import store as S
 from .registry import query
 
 _LONG = "v AS (SELECT vec_id, label, i - 1 AS i, embedding[i]::DOUBLE AS v FROM embeddings, (SELECT unnest(range(1, 1 + (SELECT max(len(embedding)) FROM embeddings))) AS i) WHERE i <= len(embedding))"
@@ -135,12 +136,39 @@ def sinogram_corrected(spark: SparkSession, d: str) -> DataFrame:
     return A.corrected(s, factors, ["angle", "radial"]).select("plane", "angle", "radial", F.round("v", 6).alias("v"))
 
 
-@query(f"WITH {_LONG}, m AS (SELECT label, i, avg(v) AS truth FROM v GROUP BY 1, 2) SELECT v.label, round(sqrt(avg((v - truth) ** 2)), 6) AS rmse, abs(round(avg(v - truth), 6)) AS bias FROM v JOIN m ON v.label = m.label AND v.i = m.i GROUP BY 1")
+@query(f"WITH {_LONG}, m AS (SELECT i, v AS truth FROM v WHERE vec_id = 3) SELECT v.label, round(sqrt(avg((v - truth) ** 2)), 6) AS rmse, round(avg(v - truth), 6) AS bias FROM v JOIN m ON v.i = m.i GROUP BY 1")
 def truth_compare(spark: SparkSession, d: str) -> DataFrame:
-    """Vectors against the mean of their label."""
+    """Vectors of each label against a true one, that of id 3."""
     v = _voxels(spark, d)
-    truth = v.groupBy("label", "i").agg(F.avg("v").alias("v"))
-    return A.compare(v, truth, ["label", "i"], ["label"]).select("label", F.round("rmse", 6).alias("rmse"), F.abs(F.round("bias", 6)).alias("bias"))
+    return A.compare(v, v.where("vec_id = 3").select("i", "v"), ["i"], ["label"]).select("label", F.round("rmse", 6).alias("rmse"), F.round("bias", 6).alias("bias"))
+
+
+@query("""SELECT event_id, user_id, value FROM events JOIN (SELECT user_id AS u, max(value) FILTER (WHERE event_type = 'click') AS m FROM events GROUP BY 1) ON u = user_id WHERE value >= 0.41::DOUBLE * m""")
+def roi_threshold_seed(spark: SparkSession, d: str) -> DataFrame:
+    """A relative threshold whose maximum is that of a seed region."""
+    e = table(spark, d, "events").select("event_id", "user_id", "value", "event_type")
+    return R.relative_threshold(e, ["user_id"], 0.41, "value", F.col("event_type") == "click").select("event_id", "user_id", "value")
+
+
+_POSITIONS = ", ".join(f"{r[0]} * z + {r[1]} * y + {r[2]} * x + {r[3]} AS p{n}" for n, r in zip("zyx", _M))
+
+
+@query(f"""WITH g AS (SELECT vec_id AS z, i // 8 AS y, i % 8 AS x FROM (SELECT vec_id, unnest(range(0, 64)) AS i FROM embeddings WHERE len(embedding) = 64)),
+p AS (SELECT z, y, x, {_POSITIONS} FROM g)
+SELECT z // 2 AS z, y // 2 AS y, x // 2 AS x, round(avg(px), 6) + 0 AS px, round(avg(py), 6) + 0 AS py, round(avg(pz), 6) + 0 AS pz FROM p GROUP BY 1, 2, 3""")
+def level_positions(spark: SparkSession, d: str) -> DataFrame:
+    """Voxels of a coarser level, put in place by that level's affine: the middle of the voxels they stand for."""
+    coarse = _grid(spark, d).select(*[F.floor(F.col(a) / 2).cast("long").alias(a) for a in "zyx"]).distinct()
+    places = A.to_physical(A.level_affine(_M, 2))
+    return coarse.select("z", "y", "x", *[(F.round(p, 6) + 0).alias(f"p{a}") for a, p in zip("zyx", places)])
+
+
+@query(f"WITH {_LONG} SELECT vec_id AS z, (i // 8)::BIGINT AS y, (i % 8)::BIGINT AS x, v, (i % 8) / 7.0::DOUBLE AS knot FROM v WHERE vec_id < 20")
+def control_points(spark: SparkSession, d: str) -> DataFrame:
+    """The control points of a transform, packed into chunks as its payload and read back, each with its knot."""
+    grid = _grid(spark, d).where("z < 20").select("z", "y", "x", "v")
+    back = S.from_chunks(S.to_chunks(grid, ["z", "y", "x"], [20, 8, 8], [3, 8, 8]), ["z", "y", "x"])
+    return back.select(*[F.col(a).cast("long").alias(a) for a in "zyx"], "v", (F.col("x") / 7.0).alias("knot"))
 
 
 @query("SELECT event_id, 'recon' AS product, 'patlak' AS reconstruction_type FROM events WHERE event_type = 'view' AND value >= 100")

@@ -9,6 +9,7 @@ from ..functions.tables import table
 from ..operators import catalog as C
 from ..operators import hashing as H
 from ..sources import exports as E
+from ..sources import store as S
 from .registry import query
 
 
@@ -135,8 +136,37 @@ def slice_metadata(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("instance"), F.get(x, F.lit(0)).alias("location"), x.alias("position"))
 
 
-@query("""SELECT DISTINCT event_type, typeof(json_extract(props, '$.k')) = 'JSON' AS readable FROM events WHERE props IS NOT NULL""")
+@query("""WITH e AS (SELECT event_type, props, unnest(json_keys(props)) AS k FROM (SELECT event_type, CASE WHEN event_id % 3 = 0 THEN props ELSE json_merge_patch(props, '{"u": 1}') END AS props FROM events WHERE props IS NOT NULL))
+SELECT event_type, k AS property, count(*) = any_value(n) AS required FROM e JOIN (SELECT event_type AS t, count(*) AS n FROM events WHERE props IS NOT NULL GROUP BY 1) ON t = event_type GROUP BY 1, 2""")
 def embedded_schemas(spark: SparkSession, d: str) -> DataFrame:
-    """Schemas embedded with the data, one for each kind of product, and whether they can be read."""
-    kinds = table(spark, d, "events").where("props is not null").groupBy("event_type").agg(F.schema_of_variant_agg(F.try_parse_json("props")).alias("schema"))
-    return kinds.select("event_type", F.startswith("schema", F.lit("OBJECT")).alias("readable"))
+    """Schemas embedded with the data, one for each kind of product, read back: their properties and which are required."""
+    e = table(spark, d, "events").where("props is not null").select("event_type", "event_id", F.json_object_keys("props").alias("own"))
+    keys = e.select("event_type", F.explode(F.when(F.col("event_id") % 3 == 0, F.col("own")).otherwise(F.array_union("own", F.array(F.lit("u"))))).alias("k"))
+    kinds = keys.groupBy("event_type", "k").agg(F.count(F.lit(1)).alias("n")).join(e.groupBy("event_type").agg(F.count(F.lit(1)).alias("all")), "event_type")
+    text = F.to_json(F.struct(F.lit("object").alias("type"), F.map_from_entries(F.collect_list(F.struct("k", F.struct(F.lit("any").alias("type"))))).alias("properties"), F.collect_list(F.when(F.col("n") == F.col("all"), F.col("k"))).alias("required")))
+    return S.schema_properties(kinds.groupBy("event_type").agg(text.alias("schema_json")), ["event_type"])
+
+
+@query("""SELECT n_name AS id, n_regionkey::BIGINT AS region FROM nation""")
+def manifest_parse(spark: SparkSession, d: str) -> DataFrame:
+    """A manifest written as text and read again."""
+    rows = [{"id": r.n_name, "region": r.n_regionkey} for r in table(spark, d, "nation").collect()]  # 25 rows
+    return E.parse_manifest(spark, E.manifest_toml(rows, "nations")).select("id", F.col("region").cast("long").alias("region"))
+
+
+@query("""SELECT 'title: "Regions"' || chr(10) || 'creators:' || chr(10) || '  - name: "A. Author"' || chr(10) || '    affiliation: "Institute"' || chr(10)
+  || 'dates:' || chr(10) || '  - date: "2024-01-01/2024-01-0' || count(*) || '"' || chr(10) || '    dateType: "Collected"' || chr(10) || 'resourceType: "Dataset"' || chr(10) || 'subjects:' || chr(10)
+  || string_agg('  - subject: "' || r_name || '"' || chr(10) || '    subjectScheme: "scan_type"' || chr(10), '' ORDER BY r_name) AS text FROM region""")
+def citation(spark: SparkSession, d: str) -> DataFrame:
+    """Citation metadata of a collection; one product for each region, taken on successive days."""
+    names = [r.r_name for r in table(spark, d, "region").orderBy("r_name").collect()]  # 5 rows
+    rows = [{"scan_type": n, "timestamp": f"2024-01-0{i + 1}T00:00:00Z"} for i, n in enumerate(names)]
+    return spark.createDataFrame([(E.datacite(rows, "Regions", [{"name": "A. Author", "affiliation": "Institute"}]),)], "text string")
+
+
+@query("""SELECT n_name, '{' || chr(10) || '  "title": "' || n_name || '",' || chr(10) || '  "type": "object"' || chr(10) || '}' AS dump FROM nation""")
+def schema_dump(spark: SparkSession, d: str) -> DataFrame:
+    """Embedded schemas as readable text, keys in order."""
+    schema = F.to_json(F.struct(F.lit("object").alias("type"), F.col("n_name").alias("title"))).alias("schema_json")
+    rows = table(spark, d, "nation").select("n_name", schema).collect()  # 25 rows
+    return spark.createDataFrame([(r.n_name, E.schema_dump(r.schema_json)) for r in rows], "n_name string, dump string")

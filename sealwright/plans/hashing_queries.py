@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,22 +83,32 @@ def chunk_verify(spark: SparkSession, d: str) -> DataFrame:
     return H.verify(docs, stored, ["doc_id"], "h").where("not ok").drop("ok")
 
 
-@query("""WITH h AS (SELECT conv_id, turn, sha256(coalesce(text, '')) AS h FROM conversations)
-SELECT conv_id, sha256(unhex(string_agg(h, '' ORDER BY turn))) AS computed, sha256(unhex(string_agg(h, '' ORDER BY turn))) AS stored, true AS ok FROM h GROUP BY conv_id""")
+@query("""WITH h AS (
+  SELECT conv_id, sha256(coalesce(text, '')) AS h, turn, CASE WHEN conv_id % 13 = 0 AND turn = 0 THEN sha256('x') ELSE sha256(coalesce(text, '')) END AS s
+  FROM conversations),
+v AS (
+  SELECT conv_id, sha256(unhex(string_agg(s, '' ORDER BY turn) FILTER (WHERE NOT (conv_id % 17 = 1 AND turn = 1)))) AS computed,
+    sha256(unhex(string_agg(h, '' ORDER BY turn))) AS stored
+  FROM h GROUP BY conv_id)
+SELECT *, computed = stored AS ok FROM v""")
 def fast_verify(spark: SparkSession, d: str) -> DataFrame:
-    """Dataset digests from stored chunk digests against those from the data."""
-    full = H.dataset_hash(_turns(spark, d), ["conv_id"], "turn", "h")
-    stored = _turns(spark, d).select("conv_id", "turn", F.col("h").alias("stored_h"))
-    return H.verify(H.dataset_hash(stored, ["conv_id"], "turn", "stored_h"), full, ["conv_id"], "dataset_hash")
+    """Dataset digests from stored chunk digests, some of them altered and some lost, against the seals."""
+    seals = H.dataset_hash(_turns(spark, d), ["conv_id"], "turn", "h")
+    kept = _turns(spark, d).where("not (conv_id % 17 = 1 and turn = 1)")
+    kept = kept.withColumn("h", F.when(F.expr("conv_id % 13 = 0 and turn = 0"), sha256(F.lit("x"))).otherwise(F.col("h")))
+    return H.verify(H.dataset_hash(kept, ["conv_id"], "turn", "h"), seals, ["conv_id"], "dataset_hash")
 
 
 @query()
 def chunk_bytes_hash(spark: SparkSession, d: str) -> DataFrame:
     """Digests of the little-endian float32 bytes of every vector."""
 
-    @F.pandas_udf("binary")
-    def raw(v: pd.Series) -> pd.Series:
-        return v.map(lambda x: None if x is None else np.asarray(x, "<f4").tobytes())
+    @F.arrow_udf("binary")
+    def raw(v: pa.Array) -> pa.Array:
+        # a batch of vectors is one buffer of floats already: only the offsets change
+        offsets = np.asarray(v.offsets, np.int64) * 4
+        data = np.asarray(v.values.fill_null(np.nan).to_numpy(zero_copy_only=False), "<f4").tobytes()
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(v), [pa.py_buffer(np.packbits(~np.asarray(v.is_null()), bitorder="little")), pa.py_buffer(offsets.tobytes()), pa.py_buffer(data)]).cast(pa.binary())
 
     return table(spark, d, "embeddings").select("vec_id", H.chunk_hash(raw("embedding")).alias("chunk_hash"))
 
@@ -129,11 +139,19 @@ def version_diff(spark: SparkSession, d: str) -> DataFrame:
     return H.version_diff(old, new, ["o_orderkey"], "h")
 
 
-@query("""SELECT doc_id, 'sha256' AS algorithm, sha256(coalesce(text, '')) AS computed, sha256(coalesce(text, '')) AS stored, true AS ok FROM documents""")
+@query("""WITH v AS (
+  SELECT doc_id, 'sha256' AS algorithm, CASE WHEN doc_id % 101 = 5 THEN NULL WHEN doc_id % 89 = 0 THEN sha256(coalesce(text, '') || 'x') ELSE sha256(coalesce(text, '')) END AS computed,
+    sha256(coalesce(text, '')) AS stored FROM documents)
+SELECT *, coalesce(computed = stored, false) AS ok FROM v""")
 def full_verify(spark: SparkSession, d: str) -> DataFrame:
-    """Contiguous data: one digest over all bytes, compared with a stored seal whose prefix names the algorithm."""
-    docs = table(spark, d, "documents").select("doc_id", H.chunk_hash(text_of(F.col("text"))).alias("h"))
-    seals = docs.select("doc_id", F.concat(F.lit("sha256:"), "h").alias("seal"))
+    """Contiguous data: one digest over all bytes, compared with a stored seal whose prefix names the algorithm.
+
+    After sealing some data were changed and some lost.
+    """
+    sealed = table(spark, d, "documents").select("doc_id", text_of(F.col("text")).alias("data"))
+    now = sealed.where("doc_id % 101 <> 5").withColumn("data", F.when(F.col("doc_id") % 89 == 0, F.concat("data", F.lit("x"))).otherwise(F.col("data")))
+    docs = now.select("doc_id", H.chunk_hash(F.col("data")).alias("h"))
+    seals = sealed.select("doc_id", F.concat(F.lit("sha256:"), H.chunk_hash(F.col("data"))).alias("seal"))
     stored = seals.select("doc_id", H.hex_digest(F.col("seal")).alias("h"))
     names = seals.select("doc_id", H.algorithm(F.col("seal")).alias("algorithm"))
     return H.verify(docs, stored, ["doc_id"], "h").join(names, "doc_id")

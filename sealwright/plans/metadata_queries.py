@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expressions import size_class, to_si
 from ..functions.tables import table
+from ..model import CALIBRATION_TYPES, DEVICE_TYPES, REGION_METHODS, SPECTRUM_METHODS, product_types
 from ..operators import metadata as M
+from ..operators.calibration import incomplete
 from .registry import query
 
 
@@ -188,10 +190,89 @@ def attachment_size_class(spark: SparkSession, d: str) -> DataFrame:
     return docs.union(pages)
 
 
-@query("""SELECT p_type, count(*) AS n FROM part GROUP BY p_type""")
-def method_counts(spark: SparkSession, d: str) -> DataFrame:
-    """How many rows each registered method has."""
-    return table(spark, d, "part").groupBy("p_type").agg(F.count(F.lit(1)).alias("n"))
+def _one_of(names: list[str], key: str) -> Column:
+    """A name by the key's remainder; the last one is registered nowhere."""
+    return F.element_at(F.array(*map(F.lit, names)), (F.col(key) % len(names) + 1).cast("int"))
+
+
+def _sql_list(names) -> str:
+    return "[" + ", ".join(f"'{n}'" for n in names) + "]"
+
+
+_SPECTRA = [*SPECTRUM_METHODS, "other"]
+_REGIONS = [*REGION_METHODS, "freehand"]
+_DEVICES = [*DEVICE_TYPES, "scale"]
+_CALIBRATIONS = [*CALIBRATION_TYPES, "unknown"]
+_NEEDED = "CASE type " + " ".join(f"WHEN '{k}' THEN {_sql_list(v)}" for k, v in REGION_METHODS.items()) + " END"
+_DATASETS = "CASE type " + " ".join(f"WHEN '{k}' THEN {_sql_list(v) if v else '[]::VARCHAR[]'}" for k, v in CALIBRATION_TYPES.items()) + " END"
+
+
+@query(f"""SELECT type, type <> 'other' AS known, count(*) AS n FROM (SELECT {_sql_list(_SPECTRA)}[p_partkey % {len(_SPECTRA)} + 1] AS type FROM part) GROUP BY 1""")
+def spectrum_methods(spark: SparkSession, d: str) -> DataFrame:
+    """Spectra by method, and whether the method is registered."""
+    rows = table(spark, d, "part").select(_one_of(_SPECTRA, "p_partkey").alias("type"))
+    return M.registered(rows, {k: () for k in SPECTRUM_METHODS}).groupBy("type", "known").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH o AS (SELECT {_sql_list(_REGIONS)}[o_orderkey % {len(_REGIONS)} + 1] AS type, o_custkey % 4 AS have FROM orders)
+SELECT type, type <> 'freehand' AS known, array_to_string(({_NEEDED})[have + 1:], ',') AS missing, count(*) AS n FROM o GROUP BY ALL""")
+def region_methods(spark: SparkSession, d: str) -> DataFrame:
+    """Regions by method with the attributes of the method that they lack; some have only the first few."""
+    o = table(spark, d, "orders").select(_one_of(_REGIONS, "o_orderkey").alias("type"), (F.col("o_custkey") % 4).cast("int").alias("have"))
+    names = None
+    for kind, needed in REGION_METHODS.items():
+        own = F.slice(F.array(*map(F.lit, needed)), F.lit(1), F.col("have"))
+        names = F.when(F.col("type") == kind, own) if names is None else names.when(F.col("type") == kind, own)
+    rows = M.registered(o.withColumn("names", F.coalesce(names, F.array().cast("array<string>"))), REGION_METHODS, names="names")
+    return rows.groupBy("type", "known", F.array_join("missing", ",").alias("missing")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""SELECT type, type <> 'scale' AS known, count(*) AS n FROM (SELECT {_sql_list(_DEVICES)}[user_id % {len(_DEVICES)} + 1] AS type FROM events) GROUP BY 1""")
+def device_types(spark: SparkSession, d: str) -> DataFrame:
+    """Device streams by category, and whether the category is registered."""
+    rows = table(spark, d, "events").select(_one_of(_DEVICES, "user_id").alias("type"))
+    return M.registered(rows, {k: () for k in DEVICE_TYPES}).groupBy("type", "known").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH p AS (SELECT p_partkey, {_sql_list(_CALIBRATIONS)}[p_partkey % {len(_CALIBRATIONS)} + 1] AS type, p_size % 3 AS have FROM part)
+SELECT p_partkey, type FROM p WHERE type = 'unknown' OR have < len({_DATASETS})""")
+def calibration_types(spark: SparkSession, d: str) -> DataFrame:
+    """Calibrations of an unknown type, or without one of their type's key datasets."""
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("product_id"), _one_of(_CALIBRATIONS, "p_partkey").alias("calibration_type"), (F.col("p_size") % 3).cast("int").alias("have"))
+    names = None
+    for kind, needed in CALIBRATION_TYPES.items():
+        own = F.slice(F.array(*map(F.lit, needed)).cast("array<string>"), F.lit(1), F.col("have"))
+        names = F.when(F.col("calibration_type") == kind, own) if names is None else names.when(F.col("calibration_type") == kind, own)
+    found = incomplete(p.withColumn("names", F.coalesce(names, F.array().cast("array<string>"))))
+    return found.select(F.col("product_id").alias("p_partkey"), F.col("calibration_type").alias("type"))
+
+
+_SCHEMA = {"type": "object", "required": ["k"], "properties": {"k": {"type": "integer", "enum": [1, 2, 3]}}}
+
+
+@query("""WITH e AS (SELECT event_id, CASE WHEN event_id % 11 = 0 THEN '{"j": 1}' WHEN event_id % 11 = 1 THEN '[1' WHEN event_id % 11 = 2 THEN '{"k": "x"}' ELSE props END AS props FROM events),
+c AS (SELECT event_id, CASE WHEN props IS NULL OR NOT json_valid(props) THEN '/: not object' WHEN json_type(props, '$.k') IS NULL THEN '/k: missing'
+  WHEN json_type(props, '$.k') NOT IN ('UBIGINT', 'BIGINT') THEN '/k: not integer' WHEN json_extract_string(props, '$.k')::BIGINT NOT IN (1, 2, 3) THEN '/k: not one of [1, 2, 3]' END AS problem FROM e)
+SELECT event_id, problem FROM c WHERE problem IS NOT NULL""")
+def schema_problems(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that break their schema; some are malformed, lack a key or have one of a wrong type."""
+    k = F.col("event_id") % 11
+    text = F.when(k == 0, '{"j": 1}').when(k == 1, "[1").when(k == 2, '{"k": "x"}').otherwise(F.col("props"))
+    rows = table(spark, d, "events").select("event_id", text.alias("props"))
+    return M.schema_problems(rows, "props", _SCHEMA).select("event_id", F.explode("problems").alias("problem"))
+
+
+_TYPES = product_types()  # those that are registered from the start
+
+
+@query("""SELECT * FROM (VALUES ('recon', 'timestamp + scanner_uuid + vendor_series_id', true), ('listmode', 'timestamp + scanner_uuid + vendor_series_id', true),
+  ('sinogram', 'timestamp + scanner_uuid + vendor_series_id', true), ('sim', 'simulation_config_hash + random_seed', false), ('transform', 'source_id + target_id + method_type + creation_timestamp', true),
+  ('calibration', 'scanner_uuid + calibration_type + valid_from', true), ('spectrum', 'source_id + method_type + creation_timestamp', true),
+  ('roi', 'reference_image_id + method_type + creation_timestamp', true), ('device_data', 'device_model + recording_start', true)) AS t(product, id_inputs, measured)""")
+def registered_products(spark: SparkSession, d: str) -> DataFrame:
+    """The product types that can be discovered, with what identifies them."""
+    rows = [(name, " + ".join(kind.identity), kind.measured) for name, kind in _TYPES.items()]
+    return spark.createDataFrame(rows, "product string, id_inputs string, measured boolean")
 
 
 @query("""SELECT p_partkey, round(p_retailprice * 0.001, 6) AS si FROM part""")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 _queries: dict[str, Callable] = {}
 _oracles: dict[str, str] = {}
-_modules = ("hashing", "metadata", "catalog", "provenance", "arrays", "histograms", "events")
+_modules = ("hashing", "metadata", "catalog", "provenance", "arrays", "histograms", "events", "store")
 
 
 def query(sql: str | None = None):

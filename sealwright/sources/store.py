@@ -19,6 +19,8 @@ from ..functions.expressions import sha256
 from ..model import TABLES, product_types
 from ..operators import hashing, metadata
 
+#: Axes whose chunk bounds are columns of their own.
+AXES = 4
 CHUNKS = "product_id string, path string, chunk_idx long, origin array<long>, extent array<long>, data binary"
 
 
@@ -91,10 +93,14 @@ def from_chunks(chunks: DataFrame, axes: list[str], dtype: str = "<f4", keys: li
 
 
 def read_slice(chunks: DataFrame, axes: list[str], dtype: str = "<f4", **at: int) -> DataFrame:
-    """Cells at given indexes: only the chunks that hold them are decoded."""
+    """Cells at given indexes: only the chunks that hold them are decoded, and of a published product only they are read.
+
+    Its chunks carry their bounds as plain columns, on which Parquet skips files, row groups and pages.
+    """
     for a, i in at.items():
         k = axes.index(a)
-        chunks = chunks.where((F.col("origin")[k] <= i) & (F.col("origin")[k] + F.col("extent")[k] > i))
+        low, high = (F.col(f"lo{k}"), F.col(f"hi{k}")) if f"lo{k}" in chunks.columns else (F.col("origin")[k], F.col("origin")[k] + F.col("extent")[k])
+        chunks = chunks.where((low <= i) & (high > i))
     out = from_chunks(chunks, axes, dtype)
     for a, i in at.items():
         out = out.where(F.col(a) == i)
@@ -113,7 +119,7 @@ class ProductWriter:
         self.identity = [str(v) if v is not None else "" for v in (product, *identity.values())]
         self.tree: dict = {}
         self.volumes: list[tuple[str, np.ndarray, tuple, dict]] = []
-        self.frames: list[tuple[str, DataFrame]] = []
+        self.frames: list[tuple[str, DataFrame, dict]] = []
         self.links: list[tuple] = []
 
     def __enter__(self) -> ProductWriter:
@@ -128,9 +134,13 @@ class ProductWriter:
         chunk = chunk or (*(1 for _ in data.shape[:-2]), *data.shape[-2:])
         self.volumes.append((path, data, chunk, attrs))
 
-    def write_chunks(self, chunks: DataFrame, path: str) -> None:
-        """Chunks that a plan makes: (chunk_idx, origin, extent, data)."""
-        self.frames.append((path, chunks))
+    def write_chunks(self, chunks: DataFrame, path: str, **attrs) -> None:
+        """Chunks that a plan makes: (chunk_idx, origin, extent, data); nothing of them passes through the driver."""
+        self.frames.append((path, chunks, attrs))
+
+    def write_cells(self, cells: DataFrame, axes: list[str], shape: list[int], chunk: list[int], path: str = "/volume", dtype: str = "<f4", value: str = "v", **attrs) -> None:
+        """An array in long form, cut into chunks by the plan that writes them."""
+        self.write_chunks(to_chunks(cells, axes, shape, chunk, dtype, value), path, **attrs, dtype=dtype, shape=list(shape), chunk_shape=list(chunk))
 
     def write_metadata(self, tree: dict) -> None:
         self.tree |= tree
@@ -149,10 +159,10 @@ class ProductWriter:
         for path, array, shape, attrs in self.volumes:
             data_paths[path] = attrs | {"dtype": array.dtype.str, "shape": list(array.shape), "chunk_shape": list(shape)}
             chunk_rows += [(ident, path, *c) for c in chunks_of(array, shape)]
+        data_paths |= {path: attrs for path, _, attrs in self.frames}
         rows += [(ident, p, k, canonical(v), metadata.type_of(v)) for p, a in data_paths.items() for k, v in sorted(a.items())]
         chunks = spark.createDataFrame(chunk_rows, CHUNKS)
-        for path, frame in self.frames:
-            data_paths[path] = {}
+        for path, frame, _ in self.frames:
             chunks = chunks.unionByName(frame.select(F.lit(ident).alias("product_id"), F.lit(path).alias("path"), "chunk_idx", "origin", "extent", "data"))
         paths = {"/"} | {p for _, p, *_ in rows} | set(data_paths)
         for p in list(paths):
@@ -161,7 +171,9 @@ class ProductWriter:
                 paths.add(p)
         nodes = [(ident, p, None if p == "/" else (p.rsplit("/", 1)[0] or "/"), p.rsplit("/", 1)[1], 0 if p == "/" else p.count("/"), "dataset" if p in data_paths else "group") for p in sorted(paths)]
         staging = f"{self.store}/.staging-{uuid.uuid4().hex}"
-        chunks.withColumn("chunk_hash", hashing.chunk_hash(F.col("data"))).write.parquet(f"{staging}/chunks")
+        bounds = {f"{name}{k}": F.get("origin", F.lit(k)) + (F.get("extent", F.lit(k)) if name == "hi" else 0) for k in range(AXES) for name in ("lo", "hi")}
+        chunks = chunks.withColumns(bounds | {"chunk_hash": hashing.chunk_hash(F.col("data"))})
+        chunks.sortWithinPartitions("path", "chunk_idx").write.parquet(f"{staging}/chunks")
         attrs = spark.createDataFrame(rows, TABLES["attrs"])
         attrs.write.parquet(f"{staging}/attrs")
         spark.createDataFrame(nodes, TABLES["nodes"]).write.parquet(f"{staging}/nodes")
@@ -201,6 +213,13 @@ def read_schema(spark: SparkSession, store: str, product_id: str) -> dict:
     return json.loads(row[0])
 
 
+def schema_properties(products: DataFrame, keys: list[str], schema: str = "schema_json") -> DataFrame:
+    """(keys, property, required) of the embedded schemas of many products."""
+    names = F.explode(F.json_object_keys(F.get_json_object(schema, "$.properties"))).alias("property")
+    needed = F.from_json(F.get_json_object(schema, "$.required"), "array<string>").alias("needed")
+    return products.select(*keys, names, needed).select(*keys, "property", F.coalesce(F.array_contains("needed", F.col("property")), F.lit(False)).alias("required"))
+
+
 def content_hash(spark: SparkSession, folder: str, full: bool = False, hardened: bool = False) -> DataFrame:
     """(product_id, content_hash) of the product in a folder, from stored chunk digests or (``full``) from the bytes."""
     chunks = spark.read.parquet(f"{folder}/chunks")

@@ -64,3 +64,9 @@ def test_attribute_rows_follow_flatten(spark):
     got = sorted((r.id, r.path, r.key, r.value) for r in M.attribute_rows(df, ["id"], "doc").collect())
     text = lambda v: json.dumps(v).replace(" ", "") if not isinstance(v, str) else v
     assert got == sorted((i, p, k, text(v)) for i, t in enumerate(trees) for p, k, v in M.flatten(t))
+
+
+def test_registered(spark):
+    df = spark.createDataFrame([("a", ["x"]), ("b", []), ("c", ["x"]), (None, None)], "type string, names array<string>")
+    got = M.registered(df, {"a": ("x", "y"), "b": ()}, names="names").collect()
+    assert [(r.known, r.missing) for r in got] == [(True, ["y"]), (True, []), (False, None), (False, None)]

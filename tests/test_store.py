@@ -104,3 +104,22 @@ def test_names(spark):
 def test_write_text(spark, tmp_path):
     E.write_text(spark, "größe", f"file://{tmp_path}/x/manifest.toml")
     assert (tmp_path / "x" / "manifest.toml").read_text() == "größe"
+
+
+def test_slices_prune_chunks(spark, tmp_path):
+    """A slice's condition reaches the scan of the published chunks."""
+    store = f"file://{tmp_path}"
+    make(spark, store)
+    got = S.read_slice(S.read(spark, store, "chunks"), ["z", "y", "x"], z=3, x=2)
+    assert sorted((r.z, r.y, r.x, r.v) for r in got.collect()) == [(3, y, 2, float(36 + 3 * y + 2)) for y in range(4)]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "LessThanOrEqual(lo0,3)" in plan and "GreaterThan(hi0,3)" in plan and "LessThanOrEqual(lo2,2)" in plan
+
+
+def test_cells_are_written_by_a_plan(spark, tmp_path):
+    cells = spark.range(60).selectExpr("id div 12 as z", "id div 3 % 4 as y", "id % 3 as x", "cast(id as double) as v")
+    with S.create(spark, f"file://{tmp_path}/a", product="recon", identity=IDENT, name="n", description="d") as p:
+        p.write_cells(cells, ["z", "y", "x"], [5, 4, 3], [2, 2, 2], units="Bq")
+    with S.create(spark, f"file://{tmp_path}/b", product="recon", identity=IDENT, name="n", description="d") as q:
+        q.write_volume(np.arange(60, dtype="f4").reshape(5, 4, 3), chunk=(2, 2, 2), units="Bq")
+    assert p.content_hash == q.content_hash
