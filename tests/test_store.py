@@ -112,7 +112,7 @@ def test_slices_prune_chunks(spark, tmp_path):
     make(spark, store)
     got = S.read_slice(S.read(spark, store, "chunks"), ["z", "y", "x"], z=3, x=2)
     assert sorted((r.z, r.y, r.x, r.v) for r in got.collect()) == [(3, y, 2, float(36 + 3 * y + 2)) for y in range(4)]
-    plan = got._jdf.queryExecution().executedPlan().toString()
+    plan = spark.sparkContext._jvm.PythonSQLUtils.explainString(got._jdf.queryExecution(), "formatted")
     assert "LessThanOrEqual(lo0,3)" in plan and "GreaterThan(hi0,3)" in plan and "LessThanOrEqual(lo2,2)" in plan
 
 
