@@ -7,8 +7,8 @@ times the range's maximum (or minimum for a negative weight).
 
 First every query meets the summaries, and is scored in the cell of highest bound: its kth score there is a floor. Then
 it meets the summaries again, and goes to those other cells only whose bound reaches the floor. Inside a cell blocks are
-taken in falling order of their bounds and scored through the forward index until the next bound falls below the kth
-score; at an equal bound a range is still scored, because ties go to smaller ids. Queries are copied to the cells that
+taken in falling order of their bounds, up to ``RUN`` at a time, and scored through the forward index until the next
+bound falls below the kth score; at an equal bound a range is still scored, because ties go to smaller ids. Queries are copied to the cells that
 they may need, and cells to groups of ``QUERIES`` queries that need them; summaries are dealt in tiles, not broadcast. A
 query's k best over all cells are taken by a ranked window, which Spark limits before its shuffle.
 
@@ -31,6 +31,8 @@ from .common import cut
 
 #: Candidates of a block and of a cell, queries of a group, cells whose summaries make a tile.
 BLOCK, CELL, QUERIES, TILE = 64, 8192, 2048, 4096
+#: Most blocks that are scored between two looks at the kth score.
+RUN = 32
 
 CELLS = "cell long, dim int, kind string, ids binary, copies binary, weights binary, high binary, low binary"
 _LEAST, _MOST = -(2**63), 2**63 - 1
@@ -62,21 +64,29 @@ def _bounds(q: np.ndarray, high: np.ndarray, low: np.ndarray) -> np.ndarray:
 def search_cell(qid: np.ndarray, q: np.ndarray, floors: list, cid: np.ndarray, copies: np.ndarray, c: np.ndarray, k: int, block: int) -> list[tuple[int, int, int]]:
     """(query's place, candidate, score) of the k best of each query that reach its floor; candidates in order of ids."""
     kind = _kind(q, c)
-    q, c = q.astype(kind), c.astype(kind)
-    starts = np.arange(0, len(cid), block)
-    bounds = _bounds(q, np.maximum.reduceat(c, starts), np.minimum.reduceat(c, starts))
+    # blocks side by side, the last one filled up with rows that do not count
+    n = -(-len(cid) // block)
+    fill = n * block - len(cid)
+    q, c = q.astype(kind), np.concatenate([c, np.repeat(c[-1:], fill, axis=0)]).astype(kind).reshape(n, block, -1)
+    cid, copies = np.append(cid, np.repeat(cid[-1:], fill)).reshape(n, block), np.append(copies, np.zeros(fill, np.int64)).reshape(n, block)
+    bounds = _bounds(q, c.max(axis=1), c.min(axis=1))
     out = []
     for i in range(len(qid)):
         ids, scores, kth = np.empty(0, np.int64), np.empty(0, kind), floors[i]
-        for b in np.argsort(-bounds[i], kind="stable"):
-            if kth is not None and bounds[i, b] < kth:
+        order = np.argsort(-bounds[i], kind="stable")
+        at, some = 0, 1
+        while at < n:
+            # the next blocks, more at a time as bounds fall; the first of them holds the highest bound
+            run = order[at : at + some]
+            if kth is not None:
+                run = run[(bounds[i, run] >= kth).astype(bool)]
+            if not len(run):
                 break
-            s = slice(starts[b], starts[b] + block)
-            got, own, times = _held(c[s] @ q[i]), cid[s], copies[s]
+            at, some = at + some, min(2 * some, RUN)
+            got, own, times = _held(c[run] @ q[i]).ravel(), cid[run].ravel(), copies[run].ravel()
             same = np.flatnonzero(own == qid[i])
             if len(same):  # the query's own row does not count
-                times = times.copy()
-                times[same] -= (c[s][same] == q[i]).all(axis=1)
+                times[same] -= (c[run].reshape(len(own), -1)[same] == q[i]).all(axis=1) & (times[same] > 0)
             use = times > 0
             if kth is not None:
                 use &= (got >= kth).astype(bool)
