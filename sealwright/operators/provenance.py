@@ -19,14 +19,37 @@ def sources_of(edges: DataFrame, products: DataFrame) -> DataFrame:
     return products.select("product_id").join(edges, "product_id")
 
 
+def closure(edges: DataFrame) -> DataFrame:
+    """(from, to, steps): every node that others lead to, with the fewest steps, in as many rounds as steps have bits.
+
+    edges: (from, to). A shortest path of more than h and up to 2 h steps is one of h steps followed by one of up to h.
+    Each round's pairs are cut from their lineage; a cycle adds no pairs and ends.
+    """
+    pairs = cut(edges.select("from", "to").where(~F.col("from").eqNullSafe(F.col("to"))).distinct().withColumn("steps", F.lit(1)))
+    h = 1
+    while True:
+        half = pairs.where(F.col("steps") == h)
+        if half.isEmpty():
+            return pairs
+        rest = pairs.select(F.col("from").alias("via"), F.col("to").alias("end"), F.col("steps").alias("more"))
+        longer = half.join(rest, half["to"] == rest["via"]).where(F.col("from") != F.col("end"))
+        longer = longer.select("from", F.col("end").alias("to"), (F.col("steps") + F.col("more")).alias("steps"))
+        pairs = cut(pairs.union(longer).groupBy("from", "to").agg(F.min("steps").alias("steps")))
+        h *= 2
+
+
 def walk(edges: DataFrame, start: DataFrame, most: int = 1000) -> DataFrame:
     """(start, node, steps): every node reached from each start, with the fewest steps.
 
-    edges: (from, to). One join for each level, over that level's new pairs only, so a cycle ends the walk instead of
-    running on. Each level is cut from its lineage.
+    edges: (from, to). Where a quarter of the nodes or more are starts, all pairs are found in a few rounds
+    (:func:`closure`). Else there is one join for each level, over that level's new pairs only, so a cycle ends the walk
+    instead of running on; each level is cut from its lineage.
     """
     edges = edges.select("from", "to").distinct()
     front = cut(start.select(F.col("start"), F.col("start").alias("node")).distinct().withColumn("steps", F.lit(0)))
+    if 4 * front.count() >= edges.select("from").distinct().count():
+        found = closure(edges).withColumnRenamed("from", "start").withColumnRenamed("to", "node")
+        return front.union(found.join(front.select("start"), "start", "left_semi").select("start", "node", "steps"))
     seen = front
     for n in range(1, most + 1):
         reached = front.join(edges, F.col("node") == F.col("from")).select("start", F.col("to").alias("node")).distinct()
@@ -52,19 +75,21 @@ def descendants(edges: DataFrame, start: DataFrame) -> DataFrame:
 def cyclic(edges: DataFrame) -> DataFrame:
     """Nodes on or above a cycle: what is left after nodes without remaining sources are removed again and again.
 
-    edges: (product_id, source_id). Each round keeps the edges whose source still has sources; the graph is a DAG if
-    none is left.
+    edges: (product_id, source_id). Each round first leads edges to a node of one source on to that source, which halves
+    chains and changes nothing about what reaches a cycle, then keeps the edges whose source still has sources. The graph
+    is a DAG if none is left.
     """
-    left = cut(edges.select("product_id", "source_id").distinct())
-    n = left.count()
-    while n:
+    left = cut(edges.select("product_id", "source_id").where("product_id is not null and source_id is not null").distinct())
+    while True:
+        single = left.groupBy("product_id").agg(F.min("source_id").alias("next"), F.max("source_id").alias("last")).where("next = last")
+        single = single.select(F.col("product_id").alias("source_id"), "next")
+        left = cut(left.join(single, "source_id", "left").select("product_id", F.coalesce("next", "source_id").alias("source_id")).distinct())
         open_ = left.select(F.col("product_id").alias("source_id")).distinct()
-        left = cut(left.join(open_, "source_id", "left_semi").select("product_id", "source_id"))
-        m = left.count()
+        kept = cut(left.join(open_, "source_id", "left_semi").select("product_id", "source_id"))
+        n, m = left.count(), kept.count()
+        left = kept
         if m == n:
-            break
-        n = m
-    return left.select("product_id").distinct()
+            return left.select("product_id").distinct()
 
 
 def resolve(edges: DataFrame, paths: DataFrame, manifest: DataFrame) -> DataFrame:

@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -130,6 +132,37 @@ def test_in_force(spark):
     assert [r.i for r in K.in_force(cal, F.lit("2024-06-01")).collect()] == [1]
 
 
+def plain_walk(edges, start):
+    out = {(start, start): 0}
+    front = [start]
+    while front:
+        front = [b for a in front for x, b in edges if x == a and (start, b) not in out and not out.update({(start, b): out[start, a] + 1})]
+    return out
+
+
+def test_closure_against_plain_walks(spark):
+    r = random.Random(3)
+    for n in (6, 14):
+        edges = [(r.randrange(n), r.randrange(n)) for _ in range(2 * n)] + [(100 + i, 101 + i) for i in range(21)]
+        df = spark.createDataFrame(edges, "from int, to int")
+        nodes = sorted({x for e in edges for x in e})
+        want = {}
+        for s in nodes:
+            want |= plain_walk(edges, s)
+        for some in (nodes, nodes[:2]):
+            got = P.walk(df, spark.createDataFrame([(x,) for x in some], "start int")).collect()
+            assert {(x.start, x.node): x.steps for x in got} == {k: v for k, v in want.items() if k[0] in some} and len(got) == len({(x.start, x.node) for x in got})
+        up = {a for a, b in edges if any(b == y or (b, y) in want for y in nodes if any(x == y and (z, y) in want for x, z in edges))}
+        got = {x.product_id for x in P.cyclic(df.toDF("product_id", "source_id")).collect()}
+        assert got == up
+
+
+def test_long_chain_has_no_cycle(spark):
+    chain = spark.range(5000).select(F.col("id").alias("product_id"), (F.col("id") + 1).alias("source_id"))
+    assert P.cyclic(chain).count() == 0
+    assert P.cyclic(chain.union(spark.createDataFrame([(5000, 4990)], "product_id long, source_id long"))).count() == 5001
+
+
 def test_walk_and_cycles(spark):
     edges = spark.createDataFrame([("c", "b"), ("b", "a"), ("c", "a"), ("x", "y"), ("y", "x"), ("z", "x")], "product_id string, source_id string")
     start = spark.createDataFrame([("c",), ("x",)], "product_id string")
