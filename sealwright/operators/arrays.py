@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.expressions import affine, distance
+from ..functions.windows import nearest
 
 
 def long_form(df: DataFrame, keys: list[str], array: str, position: str = "i", value: str = "v") -> DataFrame:
@@ -104,19 +106,17 @@ def frame_table(df: DataFrame, keys: list[str], start: str = "frame_start", dura
     return df.select(*keys, F.posexplode(F.arrays_zip(start, duration, label)).alias("frame", "f")).select(*keys, "frame", "f.*")
 
 
-def frame_at(frames: DataFrame, times: DataFrame, key: list[str], start: str = "start", duration: str = "duration", at: str = "at") -> DataFrame:
+def frame_at(frames: DataFrame, times: DataFrame, key: list[str], start: str = "start", duration: str = "duration", at: str = "at", bucket: Callable[[Column], Column] | None = None) -> DataFrame:
     """The frame in force at each time: a union in time order and the last start before, no range join.
 
-    Of frames with equal starts the longest counts. A time outside its frame gets null.
+    Of frames with equal starts the longest counts. A time outside its frame gets null. ``bucket``, a coarse function of
+    a time that never falls, splits hot keys.
     """
-    from pyspark.sql import Window
-
     one = frames.groupBy(*key, start).agg(F.max(duration).alias("__d")).select(*key, F.col(start).alias("__t"), "__d", F.lit(0).alias("__k"))
     two = times.select(*key, F.col(at).alias("__t"), F.lit(None).cast("double").alias("__d"), F.lit(1).alias("__k"), *[c for c in times.columns if c not in (*key, at)])
-    w = Window.partitionBy(*key).orderBy("__t", "__k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     all_ = one.unionByName(two, allowMissingColumns=True)
-    last = F.last(F.when(F.col("__k") == 0, F.struct(F.col("__t").alias("s"), F.col("__d").alias("d"))), ignorenulls=True).over(w)
-    out = all_.withColumn("__f", last).where("__k = 1").withColumnRenamed("__t", at)
+    frame = F.when(F.col("__k") == 0, F.struct(F.col("__t").alias("s"), F.col("__d").alias("d")))
+    out = nearest(all_, key, ["__t", "__k"], {"__f": frame}, None if bucket is None else bucket(F.col("__t")), own=True).where("__k = 1").withColumnRenamed("__t", at)
     return out.withColumn("frame_start", F.when(F.col(at) < F.col("__f.s") + F.col("__f.d"), F.col("__f.s"))).drop("__d", "__k", "__f")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import polynomial
+from ..functions.windows import nearest
 from ..model import CALIBRATION_TYPES
 
 def incomplete(data: DataFrame) -> DataFrame:
@@ -41,9 +42,10 @@ def as_of(rows: DataFrame, calibrations: DataFrame, key: list[str], at: str, sin
     return found.join(carried, part, "left").withColumn(out, F.coalesce(out, "__carried")).drop("__b", "__carried")
 
 
-def validity(calibrations: DataFrame, key: list[str], since: str, until: str = "valid_until", tie: list[str] = ()) -> DataFrame:
+def validity(calibrations: DataFrame, key: list[str], since: str, until: str = "valid_until", tie: list[str] = (), bucket: Column | None = None) -> DataFrame:
     """The end of each calibration's force: the start of the next one of its key, null if it is the latest."""
-    return calibrations.withColumn(until, F.lead(since).over(Window.partitionBy(*key).orderBy(since, *tie)))
+    out = nearest(calibrations, key, [since, *tie], {"__next": F.struct(F.col(since).alias("v"))}, bucket, ahead=True)
+    return out.withColumn(until, F.col("__next.v")).drop("__next")
 
 
 def in_force(calibrations: DataFrame, at: Column, since: str = "valid_from", until: str = "valid_until") -> DataFrame:
@@ -73,10 +75,10 @@ def interpolated(x: Column, points: list[tuple[float, float]]) -> Column:
     return F.when(x < points[0][0], F.lit(points[0][1])).otherwise(out)
 
 
-def segments(curve: DataFrame, key: list[str], x: str, y: str) -> DataFrame:
+def segments(curve: DataFrame, key: list[str], x: str, y: str, bucket: Column | None = None) -> DataFrame:
     """A curve's points with the next one, for interpolation by an as-of look-up."""
-    w = Window.partitionBy(*key).orderBy(x)
-    return curve.withColumn("x1", F.lead(x).over(w)).withColumn("y1", F.lead(y).over(w))
+    out = nearest(curve, key, [x], {"__next": F.struct(F.col(x).alias("x"), F.col(y).alias("y"))}, bucket, ahead=True)
+    return out.withColumn("x1", F.col("__next.x")).withColumn("y1", F.col("__next.y")).drop("__next")
 
 
 def offset(rows: DataFrame, offsets: DataFrame, keys: list[str], time: str, by: str = "offset") -> DataFrame:

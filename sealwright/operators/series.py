@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.windows import nearest
+
 
 def samples(df: DataFrame, keys: list[str], signal: str = "signal", time: str = "time") -> DataFrame:
     """One row for each sample of parallel arrays."""
@@ -27,38 +29,36 @@ def seek(cues: DataFrame, keys: list[str], step: int, at: Column) -> DataFrame:
     return cues.where(F.col("cue") * step <= at).groupBy(*keys).agg(F.max_by("first_index", "cue").alias("start_index"))
 
 
-def gaps(df: DataFrame, keys: list[str], time: str, tie: list[str] = ()) -> DataFrame:
-    """Samples with the time since the one before."""
-    w = Window.partitionBy(*keys).orderBy(time, *tie)
-    return df.withColumn("gap", F.col(time) - F.lag(time).over(w))
+def gaps(df: DataFrame, keys: list[str], time: str, tie: list[str] = (), bucket: Column | None = None) -> DataFrame:
+    """Samples with the time since the one before. ``bucket`` splits hot keys (see :func:`windows.nearest`), here and below."""
+    out = nearest(df, keys, [time, *tie], {"__before": F.struct(F.col(time).alias("v"))}, bucket)
+    return out.withColumn("gap", F.col(time) - F.col("__before.v")).drop("__before")
 
 
-def rate_check(df: DataFrame, keys: list[str], time: str, tie: list[str] = ()) -> DataFrame:
+def rate_check(df: DataFrame, keys: list[str], time: str, tie: list[str] = (), bucket: Column | None = None) -> DataFrame:
     """The median gap between samples."""
-    return gaps(df, keys, time, tie).where("gap is not null").groupBy(*keys).agg(F.median("gap").alias("median_gap"))
+    return gaps(df, keys, time, tie, bucket).where("gap is not null").groupBy(*keys).agg(F.median("gap").alias("median_gap"))
 
 
-def triggers(df: DataFrame, keys: list[str], order: list[str], value: str, level: float) -> DataFrame:
+def triggers(df: DataFrame, keys: list[str], order: list[str], value: str, level: float, bucket: Column | None = None) -> DataFrame:
     """Samples at which a signal rises to a level."""
-    before = F.lag(value).over(Window.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("__before", before).where((F.col("__before") < level) & (F.col(value) >= level)).drop("__before")
+    out = nearest(df, keys, order, {"__before": F.struct(F.col(value).alias("v"))}, bucket)
+    return out.where((F.col("__before.v") < level) & (F.col(value) >= level)).drop("__before")
 
 
-def gate_phase(df: DataFrame, keys: list[str], order: list[str], time: str, is_trigger: Column) -> DataFrame:
+def gate_phase(df: DataFrame, keys: list[str], order: list[str], time: str, is_trigger: Column, bucket: Column | None = None) -> DataFrame:
     """The phase of each sample, 0 to below 1, between the trigger at or before it and the next one after."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    back = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ahead = w.rowsBetween(1, Window.unboundedFollowing)
     mark = F.when(is_trigger, F.col(time))
-    out = df.withColumn("last_trigger", F.last(mark, ignorenulls=True).over(back)).withColumn("next_trigger", F.first(mark, ignorenulls=True).over(ahead))
+    out = nearest(df, keys, order, {"last_trigger": mark}, bucket, own=True)
+    out = nearest(out, keys, order, {"next_trigger": mark}, bucket, ahead=True)
     span = F.col("next_trigger") - F.col("last_trigger")
     return out.withColumn("phase", F.when(span > 0, (F.col(time) - F.col("last_trigger")) / span))
 
 
-def coincidences(df: DataFrame, keys: list[str], order: list[str], time: str, ident: str, window: int) -> DataFrame:
+def coincidences(df: DataFrame, keys: list[str], order: list[str], time: str, ident: str, window: int, bucket: Column | None = None) -> DataFrame:
     """Neighbouring events within a window."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    both = df.select(*keys, F.col(ident).alias("second"), F.lag(ident).over(w).alias("first"), (F.col(time) - F.lag(time).over(w)).alias("gap"))
+    out = nearest(df, keys, order, {"__before": F.struct(F.col(ident).alias("id"), F.col(time).alias("t"))}, bucket)
+    both = out.select(*keys, F.col(ident).alias("second"), F.col("__before.id").alias("first"), (F.col(time) - F.col("__before.t")).alias("gap"))
     return both.where(F.col("gap") <= window)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expressions import micros
@@ -17,6 +17,11 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", "user_id", "event_type", "value", micros("ts").alias("t"))
 
 
+def _day() -> Column:
+    """Windows of a user with very many events run within days."""
+    return F.floor(F.col("t") / 86_400_000_000)
+
+
 @query("SELECT user_id, round(avg(value), 6) AS average, min(value) AS least, max(value) AS most, max(epoch_us(ts)) - min(epoch_us(ts)) AS duration FROM events GROUP BY 1")
 def channel_summary(spark: SparkSession, d: str) -> DataFrame:
     return S.summary(_events(spark, d), ["user_id"], "value", "t").withColumn("average", F.round("average", 6))
@@ -50,12 +55,12 @@ def seek_cue(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT user_id, median(gap)::DOUBLE AS median_gap FROM (SELECT user_id, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM events) WHERE gap IS NOT NULL GROUP BY 1")
 def rate_check(spark: SparkSession, d: str) -> DataFrame:
-    return S.rate_check(_events(spark, d), ["user_id"], "t", ["event_id"])
+    return S.rate_check(_events(spark, d), ["user_id"], "t", ["event_id"], _day())
 
 
 @query("SELECT event_id, user_id, value FROM (SELECT *, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) WHERE before < 100 AND value >= 100")
 def trigger_detect(spark: SparkSession, d: str) -> DataFrame:
-    return S.triggers(_events(spark, d), ["user_id"], ["t", "event_id"], "value", 100.0).select("event_id", "user_id", "value")
+    return S.triggers(_events(spark, d), ["user_id"], ["t", "event_id"], "value", 100.0, _day()).select("event_id", "user_id", "value")
 
 
 _GATE = """WITH m AS (SELECT event_id, user_id, epoch_us(ts) AS t, CASE WHEN event_type = 'purchase' THEN epoch_us(ts) END AS mark FROM events),
@@ -67,7 +72,7 @@ f AS (SELECT event_id, CASE WHEN q - p > 0 THEN (t - p) / (q - p)::DOUBLE END AS
 @query(f"{_GATE} SELECT event_id, round(phase, 6) AS phase FROM f")
 def gate_phase(spark: SparkSession, d: str) -> DataFrame:
     """Phases between purchases."""
-    out = S.gate_phase(_events(spark, d), ["user_id"], ["t", "event_id"], "t", F.col("event_type") == "purchase")
+    out = S.gate_phase(_events(spark, d), ["user_id"], ["t", "event_id"], "t", F.col("event_type") == "purchase", _day())
     return out.select("event_id", F.round("phase", 6).alias("phase"))
 
 
@@ -80,7 +85,7 @@ def gate_axis(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT user_id, first, second, gap FROM (SELECT user_id, event_id AS second, lag(event_id) OVER w AS first, epoch_us(ts) - lag(epoch_us(ts)) OVER w AS gap FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE gap <= 600000000""")
 def coincidence_neighbours(spark: SparkSession, d: str) -> DataFrame:
     """Neighbouring events of a user within ten minutes."""
-    return S.coincidences(_events(spark, d), ["user_id"], ["t", "event_id"], "t", "event_id", 600_000_000)
+    return S.coincidences(_events(spark, d), ["user_id"], ["t", "event_id"], "t", "event_id", 600_000_000, _day())
 
 
 @query("""SELECT a.user_id, a.event_id AS first, b.event_id AS second, epoch_us(b.ts) - epoch_us(a.ts) AS gap FROM events a JOIN events b ON a.user_id = b.user_id

@@ -201,3 +201,23 @@ def test_stream(spark, tmp_path):
     q.awaitTermination(120)
     batch = df.groupBy(F.window("ts", "10 minutes")).count()
     assert batch.count() == 4 and spark.table("counts").count() <= 4
+
+
+def test_buckets_do_not_change_results(spark):
+    r = random.Random(4)
+    rows = [(r.choice(["hot", "hot", "hot", "a", None]), r.choice([None, *range(0, 200)]), i, r.choice([None, r.random()])) for i in range(600)]
+    df = spark.createDataFrame(rows, "k string, t int, id int, v double")
+    day = F.floor(F.col("t") / 7)
+    ask = {
+        "gaps": lambda b: S.gaps(df, ["k"], "t", ["id"], b),
+        "triggers": lambda b: S.triggers(df, ["k"], ["t", "id"], "v", 0.5, b),
+        "gate": lambda b: S.gate_phase(df, ["k"], ["t", "id"], "t", F.col("v") > 0.9, b),
+        "coincidences": lambda b: S.coincidences(df, ["k"], ["t", "id"], "t", "id", 3, b),
+        "validity": lambda b: K.validity(df, ["k"], "t", tie=["id"], bucket=b),
+        "segments": lambda b: K.segments(df.where("k = 'a'").dropDuplicates(["t"]), ["k"], "t", "v", b),
+    }
+    for name, f in ask.items():
+        assert sorted(map(str, f(None).collect())) == sorted(map(str, f(day).collect())), name
+    frames, times = df.selectExpr("k", "t as start", "v * 9 as duration"), df.selectExpr("k", "t as at", "id")
+    got = [sorted(map(str, A.frame_at(frames.where("start is not null and duration is not null"), times, ["k"], bucket=b).collect())) for b in (None, lambda t: F.floor(t / 7))]
+    assert got[0] == got[1]
