@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import NUL, sha256, text_of
+from ..functions.tables import cut
 from ..model import product_types
 
 def identity(product: Column | str, *inputs: Column | str) -> Column:
@@ -95,6 +96,7 @@ def tree_hash(nodes: DataFrame, hardened: bool = False) -> DataFrame:
     Works from the deepest level up: a level's digests are joined by parent and matched with that level's groups, one
     shuffle by (product, parent) for each level. A group without attributes counts the empty digest for them.
     """
+    nodes = cut(nodes, by=("depth",))  # nodes are made once, and each level reads its own
     deepest = nodes.agg(F.max("depth")).first()[0]
     below = None
     for depth in range(deepest if deepest is not None else -1, -1, -1):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.tables import cut
@@ -92,15 +92,19 @@ def cyclic(edges: DataFrame) -> DataFrame:
             return left.select("product_id").distinct()
 
 
-def resolve(edges: DataFrame, paths: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Where each source is: by its link if that path exists, else by its id in the manifest, else null.
+def resolve(edges: DataFrame, paths: DataFrame, manifest: DataFrame, hook: Column | None = None) -> DataFrame:
+    """Where each source is: where a hook says (an expression of the edge), else by its link if that path exists, else by
+    its id in the manifest, else null.
 
     edges: (product_id, source_id, hint); paths: (path); manifest: (source_id, path).
     """
+    edges = edges.withColumn("__said", F.lit(None).cast("string") if hook is None else hook)
     found = edges.join(paths.select(F.col("path").alias("hint"), F.lit(True).alias("there")), "hint", "left")
     by_id = found.join(manifest.select("source_id", F.col("path").alias("by_id")), "source_id", "left")
-    how = F.when(F.col("there"), "link").when(F.col("by_id").isNotNull(), "manifest").otherwise("not_found")
-    return by_id.select("product_id", "source_id", F.when(F.col("there"), F.col("hint")).otherwise(F.col("by_id")).alias("path"), how.alias("how"))
+    said = F.col("__said")
+    how = F.when(said.isNotNull(), "hook").when(F.col("there"), "link").when(F.col("by_id").isNotNull(), "manifest").otherwise("not_found")
+    path = F.when(said.isNotNull(), said).when(F.col("there"), F.col("hint")).otherwise(F.col("by_id"))
+    return by_id.select("product_id", "source_id", path.alias("path"), how.alias("how"))
 
 
 class Resolver:

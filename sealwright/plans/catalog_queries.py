@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.tables import table
+from ..functions.tables import scratch, table
 from ..operators import catalog as C
 from ..operators import hashing as H
 from ..sources import exports as E
@@ -62,8 +62,17 @@ def host_of_page(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", F.regexp_extract("url", "://([^/?#]*)", 1).alias("host"))
 
 
-@query("""SELECT url AS path, sha256(html) AS sha256, strlen(html) AS size_bytes FROM pages""")
+@query("""SELECT sha256(r_name || chr(10)) AS sha256, strlen(r_name) + 1 AS size_bytes FROM region""")
 def original_files(spark: SparkSession, d: str) -> DataFrame:
+    """Digests of files as they are: one text file for each region, read as bytes."""
+    folder, regions = scratch(spark, "originals"), table(spark, d, "region")
+    for r in regions.select("r_regionkey").collect():  # 5 rows
+        regions.where(F.col("r_regionkey") == r.r_regionkey).select("r_name").coalesce(1).write.text(f"{folder}/{r.r_regionkey}")
+    return S.original_files(spark, folder).select("sha256", "size_bytes")
+
+
+@query("""SELECT url AS path, sha256(html) AS sha256, strlen(html) AS size_bytes FROM pages""")
+def page_digests(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select(F.col("url").alias("path"), F.sha2("html", 256).alias("sha256"), F.octet_length("html").cast("bigint").alias("size_bytes"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import NUL, sha256, text_of
 from ..functions.tables import table
+from ..model import product_types
 from ..operators import hashing as H
 from .registry import query
 
@@ -64,6 +65,23 @@ def identity_hash(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("short_id", H.short_id(F.col("id")))
 
 
+_IDENTITY_SQL = {
+    "recon": ("timestamp", "scanner_uuid", "vendor_series_id"),
+    "sim": ("simulation_config_hash", "random_seed"),
+    "roi": ("reference_image_id", "method_type", "creation_timestamp"),
+}
+_IDENTITY_CASE = " ".join(f"WHEN '{k}' THEN 'sha256:' || sha256('{k}' || " + " || ".join(f"chr(0) || '{c}-' || o_orderkey::VARCHAR" for c in v) + ")" for k, v in _IDENTITY_SQL.items())
+
+
+@query(f"""SELECT o_orderkey, product, CASE product {_IDENTITY_CASE} END AS id FROM (SELECT o_orderkey, ['recon', 'sim', 'roi', 'unheard-of'][o_orderkey % 4 + 1] AS product FROM orders)""")
+def identity_of_types(spark: SparkSession, d: str) -> DataFrame:
+    """Identities under the rule of each row's own product type; an unknown type has none."""
+    names = sorted({c for kind in product_types().values() for c in kind.identity})
+    kinds = F.array(*map(F.lit, (*_IDENTITY_SQL, "unheard-of")))
+    rows = table(spark, d, "orders").select("o_orderkey", F.element_at(kinds, (F.col("o_orderkey") % 4 + 1).cast("int")).alias("product"), *[F.concat(F.lit(f"{c}-"), "o_orderkey").alias(c) for c in names])
+    return rows.select("o_orderkey", "product", H.identity_by_product().alias("id"))
+
+
 @query("""SELECT substr(h, 1, 4) AS short_id, count(DISTINCT h) AS n_ids FROM (
   SELECT sha256('order' || chr(0) || o_orderkey::VARCHAR) AS h FROM orders UNION ALL SELECT sha256('event' || chr(0) || event_id::VARCHAR) FROM events)
 GROUP BY 1 HAVING count(DISTINCT h) > 1""")

@@ -76,6 +76,13 @@ def resolve_fallback(spark: SparkSession, d: str) -> DataFrame:
     return P.resolve(*_resolution(spark, d))
 
 
+@query(_RESOLVE.replace("SELECT * FROM r", "SELECT product_id, source_id, CASE WHEN source_id % 10 = 0 THEN 'cache/' || source_id ELSE path END AS path, CASE WHEN source_id % 10 = 0 THEN 'hook' ELSE how END AS how FROM r"))
+def resolve_override(spark: SparkSession, d: str) -> DataFrame:
+    """A hook that is asked first knows some of the sources."""
+    hook = F.when(F.col("source_id") % 10 == 0, F.concat(F.lit("cache/"), "source_id"))
+    return P.resolve(*_resolution(spark, d), hook=hook)
+
+
 @query(_RESOLVE.replace("SELECT * FROM r", "SELECT * FROM r WHERE how = 'manifest'"))
 def stale_links(spark: SparkSession, d: str) -> DataFrame:
     return P.stale_links(*_resolution(spark, d))
