@@ -59,3 +59,12 @@ def store_schema(spark: SparkSession, d: str) -> DataFrame:
     store, ident = _published(spark, d)
     schema = S.read_schema(spark, store, ident)
     return spark.createDataFrame([(n, n in schema["required"]) for n in schema["properties"]], "property string, required boolean")
+
+
+@query("""SELECT * FROM (VALUES ('product', 'recon'), ('name', 'volume'), ('units', 'Bq/mL')) AS t(key, value)""")
+def catalogue_attributes(spark: SparkSession, d: str) -> DataFrame:
+    """Attributes found in the catalogue, which a second refresh leaves as it is."""
+    store, _ = _published(spark, d)
+    S.refresh(spark, store, ("attrs",))
+    S.refresh(spark, store, ("attrs",))
+    return S.catalogue(spark, store, "attrs").where(F.col("key").isin("product", "name", "units")).select("key", "value")

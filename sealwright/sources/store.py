@@ -205,6 +205,28 @@ def read(spark: SparkSession, store: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{store.rstrip('/')}/[0-9a-f]*/{table}")
 
 
+def refresh(spark: SparkSession, store: str, tables: tuple[str, ...] = ("products", "attrs", "nodes", "sources")) -> None:
+    """Add the small tables of products published since the last call to the store's catalogue.
+
+    The catalogue holds them in a few files, whatever the number of products; published products stay what counts, and
+    the catalogue can be made again from them. Rows carry their product's folder, by which they are added once.
+    """
+    root = store.rstrip("/")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for name in tables:
+        target = f"{root}/_catalogue/{name}"
+        rows = read(spark, root, name).withColumn("folder", F.regexp_extract(F.input_file_name(), "/([0-9a-f]+-[0-9a-f]+)/[a-z]+/[^/]+$", 1))
+        if fs.exists(path(target)):
+            rows = rows.join(spark.read.parquet(target).select("folder").distinct(), "folder", "left_anti").select(*rows.columns)
+        rows.write.mode("append").parquet(target)
+
+
+def catalogue(spark: SparkSession, store: str, table: str) -> DataFrame:
+    """A small table of all products as of the last :func:`refresh`, without a look into their folders."""
+    return spark.read.parquet(f"{store.rstrip('/')}/_catalogue/{table}")
+
+
 def read_schema(spark: SparkSession, store: str, product_id: str) -> dict:
     """The embedded schema of a product, by one pruned read."""
     row = read(spark, store, "products").where(F.col("product_id") == product_id).select("schema_json").first()

@@ -123,3 +123,16 @@ def test_cells_are_written_by_a_plan(spark, tmp_path):
     with S.create(spark, f"file://{tmp_path}/b", product="recon", identity=IDENT, name="n", description="d") as q:
         q.write_volume(np.arange(60, dtype="f4").reshape(5, 4, 3), chunk=(2, 2, 2), units="Bq")
     assert p.content_hash == q.content_hash
+
+
+def test_catalogue(spark, tmp_path):
+    store = f"file://{tmp_path}"
+    make(spark, store)
+    S.refresh(spark, store)
+    make(spark, store, name="other")
+    S.refresh(spark, store)
+    S.refresh(spark, store)
+    for name in ("products", "attrs", "nodes", "sources"):
+        now = S.catalogue(spark, store, name)
+        assert now.select("folder").distinct().count() == 2
+        assert sorted(map(str, now.drop("folder").collect())) == sorted(map(str, S.read(spark, store, name).collect()))
