@@ -8,7 +8,9 @@ Texts are compared lower-cased, every run of other characters than letters as on
 phrases are those of the whole text. For parallel work a text is laid out in blocks of ``BLOCK`` characters, which are
 all parsed side by side as if a phrase began with each block. A block whose predecessor ends inside a phrase is then
 parsed again from that state, until the new parse begins a phrase where the old one did (they agree from there on); a
-block that ends in another state than before sends its successor through once more.
+block that ends in another state than before sends its successor through once more. Few texts need more than ``ROUNDS``
+such rounds (repeated phrases that never fall into step); these are then parsed on from their first block that is not
+settled, so that no block is parsed again and again.
 
 Every character of a language's training text has its transitions, whatever the script. Automata are kept as
 displaced rows: a state is the offset of its row in two arrays that all rows share, so a language takes about 20 bytes
@@ -35,6 +37,8 @@ from pyspark.sql import types as T
 from .common import per_doc_batches
 
 BLOCK = 512
+#: Rounds over all blocks that are not settled, before texts are parsed on one by one.
+ROUNDS = 3
 #: Between pieces of training text: no character of any text.
 GAP = 0x110000
 
@@ -221,7 +225,7 @@ class Lanes:
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
         after = np.append(np.where(owner[1:] == owner[:-1], place[1:], -1), -1) if len(owner) else place
-        self.texts, self.owner, self.length, self.after = len(seqs), owner[order], length[order], after[order]
+        self.texts, self.owner, self.length, self.after, self.within = len(seqs), owner[order], length[order], after[order], within[order]
         self.steps = int(length.max(initial=0))
         flat = np.concatenate([*seqs, np.empty(0, np.int32)])
         start = ((np.cumsum(size) - size)[owner] + within * block)[order]
@@ -258,12 +262,22 @@ def phrases(lanes: Lanes, code: np.ndarray, rows: Rows) -> np.ndarray:
             begins[step + 1, broken[first == root]] = True
         state[:m] = nxt
 
+    def move(step, cur: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """One character on: the next states, and where the new parse agrees with the old one."""
+        c = at[step, cur]
+        i = s + c
+        nxt = to.take(i)
+        broken = owner.take(i) != s
+        new = broken | (s == root)
+        nxt[broken] = restart(c[broken])
+        agreed = new & begins[step, cur]
+        begins[step, cur] = new
+        return nxt, agreed
+
     entered = np.full(n, root, np.int32)  # the state in which each block was entered
     before = np.flatnonzero(lanes.after >= 0)
-    while True:
+    for _ in range(ROUNDS):
         before = before[state[before] != entered[lanes.after[before]]]
-        if not len(before):
-            break
         cur, s = lanes.after[before], state[before]
         entered[cur] = s
         changed = []
@@ -275,17 +289,30 @@ def phrases(lanes: Lanes, code: np.ndarray, rows: Rows) -> np.ndarray:
                 cur, s = cur[~done], s[~done]
             if not len(cur):
                 break
-            c = at[step, cur]
-            i = s + c
-            nxt = to.take(i)
-            broken = owner.take(i) != s
-            new = broken | (s == root)
-            nxt[broken] = restart(c[broken])
-            agreed = new & begins[step, cur]
-            begins[step, cur] = new
+            nxt, agreed = move(step, cur, s)
             cur, s = cur[~agreed], nxt[~agreed]
         changed = np.concatenate([*changed, np.empty(0, np.int64)])
         before = changed[lanes.after[changed] >= 0]
+    while True:
+        before = np.flatnonzero(lanes.after >= 0)
+        before = before[state[before] != entered[lanes.after[before]]]
+        if not len(before):
+            break
+        # the first block of each text that is not settled, and on from there
+        before = before[np.lexsort((lanes.within[before], lanes.owner[before]))]
+        before = before[np.unique(lanes.owner[before], return_index=True)[1]]
+        cur, s, step = lanes.after[before], state[before], np.zeros(len(before), np.int64)
+        entered[cur] = s
+        while len(cur):
+            nxt, agreed = move(step, cur, s)
+            cur, s, step = cur[~agreed], nxt[~agreed], step[~agreed] + 1
+            done = step == lanes.length[cur]
+            if done.any():
+                state[cur[done]] = s[done]
+                follow = np.where(done, lanes.after[cur], cur)
+                go = ~done | ((follow >= 0) & (entered[follow] != s))
+                cur, s, step = follow[go], s[go], np.where(done, 0, step)[go]
+                entered[cur[step == 0]] = s[step == 0]
     begins[lanes.length, np.arange(n)] = False
     return np.bincount(lanes.owner, begins.sum(axis=0), lanes.texts).astype(np.int64)
 

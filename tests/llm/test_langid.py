@@ -36,6 +36,20 @@ def test_phrases_against_brute_force():
     assert langid.phrases(langid.Lanes([], 4), code, rows).tolist() == []
 
 
+def test_texts_that_never_fall_into_step(monkeypatch):
+    """Repeated letters and words whose phrases and blocks have different lengths, in one pass after a few rounds."""
+    train = "a" * 10 + "bab" + "ha ha ha b" + "abcabcabcab"
+    alphabet = sorted(set(train) | {"x"})
+    code = {c: i for i, c in enumerate(sorted(set(train)), 1)}
+    rows = langid.Rows(langid.automaton(np.array([code[c] for c in train])))
+    texts = ["a" * 997, "ha " * 300, "abc" * 333 + "x" + "a" * 50, "b", "", "ab" * 77, "a" * 31 + "ha " * 40 + "a" * 64]
+    seqs = [np.array([code.get(c, 0) for c in t], np.int32) for t in texts]
+    for rounds in (0, 1, 3):
+        monkeypatch.setattr(langid, "ROUNDS", rounds)
+        for block in (1, 7, 16, 512):
+            assert langid.phrases(langid.Lanes(seqs, block), np.arange(len(alphabet) + 1, dtype=np.int32), rows).tolist() == [plain(t, train) for t in texts]
+
+
 def test_rows_keep_every_transition():
     r = np.random.default_rng(9)
     for seq in (r.integers(1, 5, 2000), r.integers(1, 900, 3000), np.ones(50, int), np.empty(0, int)):
