@@ -19,8 +19,10 @@ No group is expanded into all pairs. Texts with the same words are one node. In
 first compared with one leader, in a second round with another, so a large group of near copies costs a few
 comparisons a node. Nodes of a bucket that are still in different classes are then compared by an exact filter: of
 two linked sequences of n k-mers and more, the shorter list of n - ceil(0.8 n) + 1 rarest ones must share one with that
-of the other, so only nodes that share a rare k-mer are aligned. Texts that merely share a long passage do not, and
-no linked pair is left out. Nothing is collected to the driver; each round's tables are written to the shared folder.
+of the other, so only nodes that share a rare k-mer are aligned, and of these only pairs whose lists have, from that
+k-mer on, as many left as linked sequences share (which their lengths must allow too; it holds at the first k-mer that
+linked sequences share). Texts that merely share a long passage do not, and no linked pair is left out. Nothing is
+collected to the driver; each round's tables are written to the shared folder.
 
 Null texts and texts without a word are never linked: each row is its own class, named by its doc_id. Null doc_ids
 take part but do not name a class, unless all its ids are null. Repeated rows are in one class. An empty table gives
@@ -378,10 +380,13 @@ def _rare_pairs(nodes: DataFrame, seqs: DataFrame) -> DataFrame:
     ranked = known.groupBy("node", "root").agg(F.sort_array(F.collect_list(F.struct("df", "token", "mixed"))).alias("t"))
     n = F.size("t")
     first = F.slice("t", 1, (n - F.ceil(n * F.lit(SIMILARITY) - 1e-9) + 1).cast("int"))
-    rare = ranked.select("node", "root", F.explode(F.filter(first, lambda x: x["mixed"])).alias("x")).select("node", "root", "x.token")
-    left = rare.select("token", F.col("node").alias("a"), F.col("root").alias("ra"))
-    right = rare.select("token", F.col("node").alias("b"), F.col("root").alias("rb"))
-    return left.join(right, "token").where("ra < rb").select("a", "b")
+    first = F.filter(F.transform(first, lambda x, i: F.struct(x["token"], x["mixed"], (n - i).alias("rest"))), lambda x: x["mixed"])
+    rare = ranked.select("node", "root", n.alias("n"), F.explode(first).alias("x")).select("node", "root", "n", "x.token", "x.rest")
+    left = rare.select("token", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("rest").alias("ta"))
+    right = rare.select("token", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("rest").alias("tb"))
+    longer = F.greatest("na", "nb")
+    shared = longer - F.floor(longer * F.lit(1 - SIMILARITY) + 1e-9)
+    return left.join(right, "token").where((F.col("ra") < F.col("rb")) & (F.least("ta", "tb") >= shared)).select("a", "b")
 
 
 def row_hashes(key: str, text: str) -> tuple[Column, Column]:

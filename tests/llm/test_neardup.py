@@ -180,3 +180,18 @@ def test_short_copies(spark):
     a, b, c = ([f"{g}{k}" for k in range(10)] for g in "abc")
     rows = [(0, " ".join(a)), (1, " ".join(a[:9])), (2, " ".join(b[:9])), (3, " ".join(b[:8])), (4, " ".join(c)), (5, " ".join(c[:9] + ["x"]))]
     assert {x.doc_id: x.class_id for x in classes(spark, rows)} == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4, 5: 4}
+
+
+def test_rare_pairs_hold_every_link(spark):
+    """Texts made of common blocks, so that every k-mer is frequent: all links are among the pairs, and not all pairs."""
+    r = random.Random(21)
+    blocks = [[f"b{b}w{k}" for k in range(r.randrange(5, 40))] for b in range(12)]
+    made = [[w for b in sorted(r.sample(range(12), r.randrange(5, 12))) for w in blocks[b]] for _ in range(70)]
+    made += [edited(r, w, r.randrange(1, 8)) for w in made[:30]] + [w + w[:20] for w in made[:10]]
+    hashes = {neardup._digest(h): h for h in (neardup.word_hashes(" ".join(w)) for w in made)}
+    seqs = {k: neardup.sequence(h) for k, h in hashes.items()}
+    nodes = spark.createDataFrame([(k, k, s.tobytes()) for k, s in seqs.items()], "node binary, root binary, seq binary")
+    got = {(bytes(x.a), bytes(x.b)) for x in neardup._rare_pairs(nodes.select("node", "root"), nodes.select("node", "seq")).distinct().collect()}
+    every = [(a, b) for a in seqs for b in seqs if a < b]
+    links = {p for p in every if neardup.near(seqs[p[0]], seqs[p[1]])}
+    assert links and links <= got and len(got) < len(every) / 2, (len(links), len(got), len(every))
