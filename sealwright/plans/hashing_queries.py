@@ -117,7 +117,8 @@ def fast_verify(spark: SparkSession, d: str) -> DataFrame:
     return H.verify(H.dataset_hash(kept, ["conv_id"], "turn", "h"), seals, ["conv_id"], "dataset_hash")
 
 
-@query()
+@query("""WITH f AS (SELECT vec_id, i, embedding[i]::FLOAT::BIT::VARCHAR AS b FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings))
+SELECT vec_id, sha256(string_agg(substr(b, 25, 8) || substr(b, 17, 8) || substr(b, 9, 8) || substr(b, 1, 8), '' ORDER BY i)::BIT::BLOB) AS chunk_hash FROM f GROUP BY vec_id""")
 def chunk_bytes_hash(spark: SparkSession, d: str) -> DataFrame:
     """Digests of the little-endian float32 bytes of every vector."""
 
