@@ -1,17 +1,35 @@
+import functools
+import hashlib
 import re
 
 import pytest
+import tiktoken
+import tiktoken.load
 from pyspark.sql import functions as F
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
-from sealwright.llm import neardup, quality  # noqa: E402
+from sealwright.llm import quality, queries  # noqa: E402
 from tests import oracle  # noqa: E402
 
 from .test_mix import shares  # noqa: E402
+from .test_neardup import plain_classes  # noqa: E402
 from .test_quality import plain as statistics  # noqa: E402
 
 
+@functools.cache
+def tokenizer(ranks, pattern):
+    return tiktoken.Encoding("plain", pat_str=pattern, mergeable_ranks=tiktoken.load.load_tiktoken_bpe(ranks), special_tokens={})
+
+
+def digests(text):
+    """Ids of the whole text by the tokenizer library, as the stage returns them."""
+    ranks, pattern = queries._tokenizer()
+    enc = tokenizer(ranks, pattern)
+    ids = enc.encode_ordinary(text)
+    return len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(enc.decode_bytes(ids)).hexdigest()
+
+
 def test_stages(spark):
     """Each stage on its own input, against a plain version."""
     d = oracle.SMALL
@@ -27,7 +45,7 @@ def test_stages(spark):
     told = corpus_pipeline.language_id(spark, kept, d).cache()
     assert told.columns == docs.columns and sorted(r.doc_id for r in told.collect()) == sorted(i for i, t in after.items() if any(c.isalpha() for c in t))
     single = corpus_pipeline.near_duplicates(spark, told, d).cache()
-    ids = {r.doc_id for r in neardup.classes(told).select(F.col("class_id").alias("doc_id")).collect()}
+    ids = set(plain_classes({r.doc_id: r.text for r in told.collect()})[0].values())
     assert single.columns == docs.columns and sorted(r.doc_id for r in single.collect()) == sorted(ids)
     mixed = corpus_pipeline.source_mixing(spark, single, d).cache()
     assert mixed.columns == docs.columns
@@ -39,7 +57,8 @@ def test_stages(spark):
     assert abs(words - sum(shares(sizes).values())) < 0.15 * words
     assert mixed.groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 2
     out = corpus_pipeline.byte_bpe(spark, mixed, d)
-    assert out.count() == mixed.count() and out.agg(F.sum("n_tokens")).first()[0] > words
+    said = sorted((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in out.collect())
+    assert said == sorted((r.doc_id, *digests(r.text)) for r in mixed.collect())
 
 
 def test_run(spark):
