@@ -28,6 +28,18 @@ def list_to_si(values: Column, factor: Column) -> Column:
     return F.transform(values, lambda v: v * factor)
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """A double rounded as SQL engines in C do: scaled, halves away from zero, scaled back; the sign of zero stays.
+
+    Spark's own ``round`` goes by the decimal text, which decides some halves otherwise and has no negative zero.
+    """
+    scaled = x * F.lit(10.0**digits)
+    whole = F.rint(scaled)
+    whole = F.when(F.abs(scaled - whole) == 0.5, scaled + F.signum(scaled) * 0.5).otherwise(whole)
+    back = whole / F.lit(10.0**digits)
+    return F.when(F.abs(back) == float("inf"), x).otherwise(back)
+
+
 def uniform_bin(value: Column, start: float, width: float) -> Column:
     return F.floor((value - F.lit(start)) / F.lit(width))
 

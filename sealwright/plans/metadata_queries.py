@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.expressions import size_class, to_si
+from ..functions.expressions import rounded, size_class, to_si
 from ..functions.tables import table
 from ..model import CALIBRATION_TYPES, DEVICE_TYPES, REGION_METHODS, SPECTRUM_METHODS, product_types
 from ..operators import metadata as M
@@ -51,7 +51,7 @@ def quantity_si(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT vec_id, list_transform(embedding, lambda x: round(x::DOUBLE * 0.001, 9)) AS si FROM embeddings""")
 def quantity_list_si(spark: SparkSession, d: str) -> DataFrame:
     values = M.list_quantity(F.transform("embedding", lambda x: x.cast("double")), F.lit(0.001))
-    return table(spark, d, "embeddings").select("vec_id", F.transform(values, lambda x: F.round(x, 9)).alias("si"))
+    return table(spark, d, "embeddings").select("vec_id", F.transform(values, lambda x: rounded(x, 9)).alias("si"))
 
 
 @query("""SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'mAs' ELSE 'mm' END AS units, p_size % 3 = 0 AS disagrees FROM part""")

@@ -3,7 +3,11 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from sealwright.functions.expressions import rounded
 from sealwright.operators import metadata as M
+from sealwright.plans import registry
+
+from . import oracle
 
 scalar = st.one_of(st.text(max_size=5), st.integers(-9, 9), st.floats(allow_nan=False, allow_infinity=False), st.booleans(), st.lists(st.integers(), min_size=1, max_size=3))
 names = st.text("abc", min_size=1, max_size=3)
@@ -70,3 +74,21 @@ def test_registered(spark):
     df = spark.createDataFrame([("a", ["x"]), ("b", []), ("c", ["x"]), (None, None)], "type string, names array<string>")
     got = M.registered(df, {"a": ("x", "y"), "b": ()}, names="names").collect()
     assert [(r.known, r.missing) for r in got] == [(True, ["y"]), (True, []), (False, None), (False, None)]
+
+
+def test_list_quantities_rounded_as_in_sql(spark, tmp_path):
+    halves = [m / 128 * sign for m in range(1, 4001, 2) for sign in (1, -1)]
+    odd = [0.0, -0.0, 1e-8, -1e-8, 5e-7, -5e-7, -8.903178e-08, float("nan"), float("inf"), -float("inf"), 3.4e38, -3.4e38, 1e-45, None]
+    rows = [(0, halves), (1, odd), (2, None), (3, [])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = registry.queries()["quantity_list_si"](spark, str(tmp_path)).collect()
+    want = oracle.connection(str(tmp_path)).sql(registry.oracle_sql()["quantity_list_si"]).fetchall()
+    assert {r.vec_id: repr(r.si) for r in got} == {k: repr(v) for k, v in want}
+    assert "-0.0" in repr(want)
+
+
+def test_rounded_keeps_what_overflows(spark):
+    values = [1e305, -1e305, 2.5, -2.5, 0.49999999999999994, 4503599627370495.5, None]
+    out = spark.createDataFrame([(v,) for v in values], "x double").select(rounded(F.col("x"), 0).alias("a"), rounded(F.col("x"), 9).alias("b")).collect()
+    assert [r.a for r in out] == [1e305, -1e305, 3.0, -3.0, 0.0, 4503599627370496.0, None]
+    assert [r.b for r in out][:4] == [1e305, -1e305, 2.5, -2.5]
